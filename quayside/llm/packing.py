@@ -88,8 +88,8 @@ def _packer(path: str, end_id: int, capacity: int, least: int):
             out: list[tuple] = []
             ids = pdf["doc_id"].astype("Int64").tolist()
             texts = [x if isinstance(x, str) else "" for x in pdf["text"]]
-            for a in range(0, len(texts), 500):
-                for doc_id, got in zip(ids[a : a + 500], enc.encode(texts[a : a + 500]), strict=True):
+            for part in tokens.runs(texts):
+                for doc_id, got in zip(ids[part], enc.encode(texts[part]), strict=True):
                     got, start = np.concatenate((got, end)), 0
                     data = memoryview(got.astype("<u4")).cast("B")
                     for n in cut_lengths(len(got), capacity, least):

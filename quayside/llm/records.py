@@ -90,8 +90,8 @@ def _writer(folder: str, path: str, end_id: int):
             texts = [x if isinstance(x, str) else "" for x in pdf["text"]]
             doc_ids = pdf["doc_id"].astype("Int64").tolist()
             shards = pdf["shard"].tolist()
-            for a in range(0, len(texts), 500):
-                for s, doc_id, ids in zip(shards[a : a + 500], doc_ids[a : a + 500], enc.encode(texts[a : a + 500]), strict=True):
+            for part in tokens.runs(texts):
+                for s, doc_id, ids in zip(shards[part], doc_ids[part], enc.encode(texts[part]), strict=True):
                     if s != shard:
                         if out:
                             yield close()

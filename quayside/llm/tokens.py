@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from array import array
+from itertools import pairwise
 
 import numpy as np
 
 #: Chunks whose ids a worker keeps; then it starts afresh. Only speed and memory depend on it.
-KEPT = 900_000
+KEPT = 1_400_000
 #: Missing chunks that are encoded together.
 TOGETHER = 4_000
-#: White space of the tokenizers' patterns, each with a space behind it.
-GAPS = [chr(c) + " " for c in (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+#: White space of the tokenizers' patterns but for the space and the line break.
+RARE = [chr(c) for c in (9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
 
 class Encoder:
@@ -30,56 +31,87 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.vocabulary = self.tokenizer.get_vocab_size()
+        # Ids that end a word, by the model's suffix, or that start with a space (byte-level: a dotted G).
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.by_end = bool(suffix)
+        self.marked = np.zeros(self.vocabulary, bool)
+        self.marked[[i for t, i in self.tokenizer.get_vocab().items() if (t.endswith(suffix) if suffix else t.startswith("Ġ"))]] = True
         #: By chunk, and by chunk without the space that it starts with.
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.first: dict = {}
+        self.later: dict = {}
 
-    def _library(self, chunks: list[str], into: dict[str, bytes], space: str) -> None:
+    def _library(self, chunks: list[str], into: dict, space: str) -> None:
         for i in range(0, len(chunks), TOGETHER):
             part = chunks[i : i + TOGETHER]
             for c, e in zip(part, self.tokenizer.encode_batch_fast([space + c for c in part], add_special_tokens=False), strict=True):
                 into[c] = array("I", e.ids).tobytes()
 
-    def _learn(self, chunks: set[str], into: dict[str, bytes], space: str) -> None:
-        whole: set[str] = set()
-        split: list[tuple[str, str, str]] = []
+    def _letters(self, chunks: list[str], into: dict, space: str) -> None:
+        """Chunks of letters alone: each is one pre-token, so many are encoded as one text and told apart by their first or last ids."""
+        for i in range(0, len(chunks), TOGETHER):
+            part = chunks[i : i + TOGETHER]
+            ids = self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids
+            data = array("I", ids).tobytes()
+            marked = self.marked[np.frombuffer(data, np.uint32)]
+            if self.by_end:
+                ends = [0, *(4 * np.flatnonzero(marked) + 4).tolist()]
+            else:
+                ends = [*(4 * np.flatnonzero(marked)).tolist(), len(data)]
+            if len(ends) != len(part) + 1 or ends[0] or ends[-1] != len(data):  # letters to Python, but not to the library
+                self._library(part, into, space)
+            else:
+                into.update(zip(part, [data[a:b] for a, b in pairwise(ends)], strict=True))
+
+    def _learn(self, chunks: set[str], into: dict, space: str) -> None:
+        letters, ended, whole, lines = [], [], [], []
         for c in chunks:
-            end = c[-1:]
-            if end in (".", ",") and c[-2:-1].isalnum():
-                split.append((c, c[:-1], end))
+            if space and c.isalpha():
+                letters.append(c)
+            elif c[-1:] in (".", ",") and c[-2:-1].isalnum():
+                ended.append(c)
+            elif "\n" in c:
+                lines.append(c)
+            else:
+                whole.append(c)
+        split = []
+        for c in lines:
+            head, _, tail = c.partition("\n")
+            if head and tail and not head[-1].isspace() and not tail[0].isspace():
+                split.append((c, head, tail))
             else:
-                head, line, tail = c.partition("\n")
-                if line and head and tail and not head[-1].isspace() and not tail[0].isspace():
-                    split.append((c, head, "\n" + tail))
-                else:
-                    whole.add(c)
-        heads = {h for _, h, _ in split}.difference(into) - whole
-        self._library(list(whole), into, space)
-        if heads:
+                whole.append(c)
+        self._letters(letters, into, space)
+        self._library(whole, into, space)
+        heads = {c[:-1] for c in ended}
+        heads.update(h for _, h, _ in split)
+        if heads := heads.difference(into):
             self._learn(heads, into, space)
-        lines = {t for _, _, t in split if t[0] == "\n"}.difference(self.first)
-        tails = ({t[1:] for t in lines} | {".", ",", "\n"}).difference(self.first)
-        if tails:
-            self._library([t for t in tails if len(t) == 1], self.first, "")
-            if more := {t for t in tails if len(t) > 1}:
-                self._learn(more, self.first, "")
-        for t in lines:
-            self.first[t] = self.first["\n"] + self.first[t[1:]]
+        first = self.first
+        if tails := {t for _, _, t in split}.difference(first):
+            self._learn(tails, first, "")
+        if marks := {".", ",", "\n"}.difference(first):
+            self._library(list(marks), first, "")
+        for c in ended:
+            into[c] = into[c[:-1]] + first[c[-1]]
+        line = first["\n"]
         for c, h, t in split:
-            into[c] = into[h] + self.first[t]
+            into[c] = into[h] + line + first[t]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.first) + len(self.later) > KEPT:
             self.first.clear()
             self.later.clear()
         first, later = self.first, self.later
-        split: list[list[str] | None] = []
+        later[None] = b""
+        split: list[list | None] = []
+        heads: list[str] = []
         for x in texts:
             if any(s in x for s in self.special):
                 split.append(None)
+                heads.append("")
                 continue
-            parts = x.split(" ")
-            if x[:1] == " " or any(g in x for g in GAPS):
+            parts: list = x.split(" ")
+            if x[:1] == " " or "  " in x or "\n " in x or any(g in x for g in RARE):
                 merged = parts[:1]
                 for p in parts[1:]:
                     if not merged[-1] or merged[-1][-1].isspace():
@@ -87,24 +119,36 @@ class Encoder:
                     else:
                         merged.append(p)
                 parts = merged
+            heads.append(parts[0])
+            parts[0] = None  # the first chunk has no space before it
             split.append(parts)
-        known = [x for x in split if x]
-        if new := {x[0] for x in known}.difference(first):
+        if new := set(heads).difference(first):
             self._learn(new, first, "")
-        words: set[str] = set()
-        for x in known:
-            words.update(x[1:])
+        words: set = set()
+        words.update(*(x for x in split if x))
         if new := words.difference(later):
             self._learn(new, later, " ")
         get, out = later.__getitem__, []
-        for text, x in zip(texts, split, strict=True):
+        for text, head, x in zip(texts, heads, split, strict=True):
             if x is None:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
             else:
-                out.append(np.frombuffer(first[x[0]] + b"".join(map(get, x[1:])), np.uint32))
+                out.append(np.frombuffer(first[head] + b"".join(map(get, x)), np.uint32))
         return out
 
 
+def runs(texts: list[str], chars: int = 6_000_000):
+    """Slices of texts of about so many characters, or of one text."""
+    a = held = 0
+    for i, x in enumerate(texts):
+        if held and held + len(x) > chars:
+            yield slice(a, i)
+            a, held = i, 0
+        held += len(x)
+    if a < len(texts):
+        yield slice(a, len(texts))
+
+
 _encoders: dict[str, Encoder] = {}
 
 
