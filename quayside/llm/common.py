@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +17,21 @@ from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
+#: How to empty what a module remembers in a worker process, by module.
+forget: dict[str, Callable[[], None]] = {}
+_holder: list[str] = []
+
+
+def hold(module: str) -> None:
+    """Called in a worker by an operator that remembers words: a reused worker drops what the last one remembered."""
+    if _holder and _holder[0] != module:
+        for empty in forget.values():
+            empty()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc can give free memory back
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+    _holder[:] = [module]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -116,6 +116,7 @@ SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, longest_ma
 
 def _searcher(blocks: list, window: int):
     def run(pdfs):
+        common.hold("decontaminate")
         benches = [Benchmark(b.value, window) for b in blocks]
         for pdf in pdfs:
             texts, ids = pdf["text"].tolist(), pdf["doc_id"].astype("Int64").tolist()

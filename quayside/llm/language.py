@@ -190,6 +190,7 @@ def identify(docs: DataFrame, model: tuple) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, langs, p, pieces))
 
     def run(pdfs):
+        common.hold("language")
         key, names, probs, vocab = sent.value
         scorer = _scorer(key, vocab, probs) if names else None
         for pdf in pdfs:
@@ -205,6 +206,7 @@ def identify(docs: DataFrame, model: tuple) -> DataFrame:
 
 
 _made: dict = {}
+common.forget["language"] = _made.clear
 
 
 def _scorer(key, pieces, p) -> Scorer:

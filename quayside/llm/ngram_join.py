@@ -45,6 +45,7 @@ class _Words(dict):
 
 
 _words = _Words()
+common.forget["ngram_join"] = _words.clear
 
 
 def gram_set(text: bytes | None, n: int) -> np.ndarray:
@@ -66,6 +67,7 @@ def _class_of(grams: np.ndarray) -> int:
 
 def _sets(n: int):
     def run(batches):
+        common.hold("ngram_join")
         for pdf in batches:
             sets = [gram_set(x, n) for x in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": [len(s) for s in sets], "cls": pd.array([_class_of(s) if len(s) else None for s in sets], "Int64")})
@@ -77,6 +79,7 @@ def _postings(n: int, bits: int):
     """Rows (bucket, flush, data): n-grams of a hash range with the document's number in the flush; past the buckets, each flush's classes and sizes."""
 
     def run(batches):
+        common.hold("ngram_join")
         part, seq = TaskContext.get().partitionId(), 0
         sets: list[np.ndarray] = []
         classes: dict[int, int] = {}

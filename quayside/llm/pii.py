@@ -258,6 +258,7 @@ def redact(text: Column) -> Column:
 
     @F.pandas_udf("string")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        common.hold("pii")
         for x in texts:
             yield pd.Series([None if t is None else redacted(t, every) for t, (_, every) in zip(x, find([t or "" for t in x]), strict=True)], dtype="object")
 

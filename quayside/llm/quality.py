@@ -29,7 +29,7 @@ from .linear import fit_logistic
 
 SAMPLE_DOCS, DIM = 6_000, 1 << 18
 KEEP = 0.5
-KEPT = 500_000
+KEPT = 300_000
 
 _UPPER, _LOWER, _MARK, _SPACE = (np.zeros(256, bool) for _ in range(4))
 _UPPER[65:91] = True
@@ -131,6 +131,7 @@ def features(text: str, m: list[float]) -> dict[int, float]:
 
 
 def _vote_rows(pdfs):
+    common.hold("quality")
     for pdf in pdfs:
         v = votes(np.array([measure(x or "") for x in pdf["text"]]).reshape(-1, len(MEASURES)))
         yield pd.DataFrame({"votes": [bytes((r + 1).tolist()) for r in v]})
@@ -186,6 +187,7 @@ class Scorer:
 
 
 _made: dict = {}
+common.forget["quality"] = _made.clear
 
 
 def scorer_udf(spark: SparkSession, model: dict):
@@ -195,6 +197,7 @@ def scorer_udf(spark: SparkSession, model: dict):
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        common.hold("quality")
         key, at, w, bias = sent.value
         if key not in _made:
             _made.clear()

@@ -7,8 +7,10 @@ from itertools import pairwise
 
 import numpy as np
 
+from . import common
+
 #: Chunks whose ids a worker keeps; then it starts afresh. Only speed and memory depend on it.
-KEPT = 1_400_000
+KEPT = 1_300_000
 #: Missing chunks that are encoded together.
 TOGETHER = 4_000
 #: White space of the tokenizers' patterns but for the space and the line break.
@@ -150,10 +152,12 @@ def runs(texts: list[str], chars: int = 6_000_000):
 
 
 _encoders: dict[str, Encoder] = {}
+common.forget["tokens"] = _encoders.clear
 
 
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process and file."""
+    common.hold("tokens")
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

@@ -237,6 +237,7 @@ def _mark(text: str) -> int:
 
 
 _made: dict = {}
+common.forget["toxicity"] = _made.clear
 
 
 def scorer_udf(spark: SparkSession, model: dict):
@@ -245,6 +246,7 @@ def scorer_udf(spark: SparkSession, model: dict):
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        common.hold("toxicity")
         key, chars, lexicon, base = sent.value
         if key not in _made:
             _made.clear()
