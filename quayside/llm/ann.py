@@ -12,7 +12,8 @@ GROUP_ROWS classes is split, and its probes are sent to each part; no candidate
 
 Vectors that are null, zero, or hold a null, NaN or infinity take no part, nor do vectors of another length than the
 most frequent one (ties: the longer), nor rows without vec_id. Repeated rows with the same id and vector count once.
-Fewer than k candidates give fewer rows. With the same id on different vectors, each of them is a row of its own.
+Fewer than k candidates give fewer rows; a query
+whose buckets hold fewer than there are is compared with all, in blocks. With the same id on different vectors, each of them is a row of its own.
 """
 
 from __future__ import annotations
@@ -139,26 +140,9 @@ def usable(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") ->
     return v.where(f"not ({bad})").select("vec_id", F.transform("vec", lambda x: x + F.lit(0.0)).alias("vec")).distinct()
 
 
-def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: the k found rows of embeddings with the largest inner product, but not the query's own id.
-
-    queries: rows (vec_id, embedding) that occur in embeddings.
-    """
-    spark = embeddings.sparkSession
-    every = usable(embeddings)
-    common_dim = every.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
-    if common_dim is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = common_dim["dim"]
-    every = every.where(F.size("vec") == dim)
-    # row_number() <= n is cut in each task before the shuffle, so a vector's copies never meet in one task.
-    least = every.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).where(F.col("r") <= k + 1)
-    classes = common.cut(least.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("cls"), "ids", "vec"))
-    largest, n = classes.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))), F.count("*")).first()
-    asked = usable(queries).where(F.size("vec") == dim)
-    asked = common.cut(asked.join(classes.select("cls", "vec"), "vec").select(F.col("vec_id").alias("query_id"), F.col("cls").alias("qcls")))
-    qclasses = classes.join(asked.select(F.col("qcls").alias("cls")).distinct(), "cls", "left_semi")
-
+def _best(classes: DataFrame, qclasses: DataFrame, size: tuple, tables: int, hashes: int) -> DataFrame:
+    """qcls, all: the k + 1 best (less = -score, vec_id) of the ids in the visited buckets."""
+    dim, largest, n, k, group_rows, width, probes = size
     index = classes.select("cls", "vec").mapInPandas(_index_rows(dim, tables, hashes, width, largest), "table int, bucket long, cls long, data binary")
     large = index.groupBy("table", "bucket").count().where(F.col("count") > group_rows).select("table", "bucket", F.ceil(F.col("count") / group_rows).cast("int").alias("parts"))
     shards = max(1, -(-n // group_rows))
@@ -180,7 +164,37 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, tables: int =
     found = found.join(classes, "cls").join(qclasses.select(F.col("cls").alias("qcls"), F.col("vec").alias("qvec")), "qcls")
     score = F.aggregate(F.zip_with("qvec", "vec", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     ids = F.transform("ids", lambda i: F.struct((-F.col("score")).alias("less"), i.alias("vec_id")))
-    lists = found.withColumn("score", score).select("qcls", ids.alias("some")).groupBy("qcls").agg(F.slice(F.sort_array(F.flatten(F.collect_list("some"))), 1, k + 1).alias("all"))
+    return found.withColumn("score", score).select("qcls", ids.alias("some")).groupBy("qcls").agg(F.slice(F.sort_array(F.flatten(F.collect_list("some"))), 1, k + 1).alias("all"))
+
+
+def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """query_id, rank, vec_id, score: the k found rows of embeddings with the largest inner product, but not the query's own id.
+
+    queries: rows (vec_id, embedding) that occur in embeddings.
+    """
+    spark = embeddings.sparkSession
+    every = usable(embeddings)
+    common_dim = every.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
+    if common_dim is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim = common_dim["dim"]
+    every = every.where(F.size("vec") == dim)
+    # row_number() <= n is cut in each task before the shuffle, so a vector's copies never meet in one task.
+    least = every.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).where(F.col("r") <= k + 1)
+    classes = common.cut(least.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("cls"), "ids", "vec"))
+    largest, n = classes.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))), F.count("*")).first()
+    asked = usable(queries).where(F.size("vec") == dim)
+    asked = common.cut(asked.join(classes.select("cls", "vec"), "vec").select(F.col("vec_id").alias("query_id"), F.col("cls").alias("qcls")))
+    qclasses = classes.join(asked.select(F.col("qcls").alias("cls")).distinct(), "cls", "left_semi")
+
+    size = (dim, largest, n, k, group_rows, width, probes)
+    lists = common.cut(_best(classes, qclasses, size, tables, hashes))
+    # A query that found fewer than there are is compared with every class: with no hash, all are in one bucket, which is split.
+    enough = min(k + 1, classes.agg(F.sum(F.size("ids"))).first()[0])
+    full = lists.where(F.size("all") >= enough)
+    short = qclasses.join(full.select(F.col("qcls").alias("cls")), "cls", "left_anti")
+    if short.limit(1).count():
+        lists = full.unionByName(_best(classes, common.cut(short), size, 1, 0))
     lists = asked.join(lists, "qcls").select("query_id", F.slice(F.filter("all", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("all"))
     return lists.select("query_id", F.posexplode("all").alias("pos", "x")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.less")).alias("score"))
 

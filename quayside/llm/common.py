@@ -55,6 +55,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def long_ids(df: DataFrame) -> DataFrame:
+    """doc_id, which goes through Python as text, since pandas would make a float of a nullable number, back as a number."""
+    return df.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -111,7 +111,7 @@ def _search(bench: Benchmark, docs: list[list[bytes]], bounds: np.ndarray, cover
 
 
 COLUMNS = ["doc_id", "n_words", "n_hit", "items", "longest_match", "doc_word", "item_id", "item_word"]
-SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, longest_match long, doc_word long, item_id string, item_word long"
+SCHEMA = "doc_id string, n_words long, n_hit long, items array<string>, longest_match long, doc_word long, item_id string, item_word long"
 
 
 def _searcher(blocks: list, window: int):
@@ -119,7 +119,7 @@ def _searcher(blocks: list, window: int):
         common.hold("decontaminate")
         benches = [Benchmark(b.value, window) for b in blocks]
         for pdf in pdfs:
-            texts, ids = pdf["text"].tolist(), pdf["doc_id"].astype("Int64").tolist()
+            texts, ids = pdf["text"].tolist(), pdf["doc_id"].tolist()
             i = 0
             while i < len(texts):
                 docs, first, held = [], i, 0
@@ -132,7 +132,7 @@ def _searcher(blocks: list, window: int):
                     name, best = min(found.items(), key=lambda f: (-f[1][0], f[1][1], f[0]), default=(None, (0, None, None)))
                     rows.append((doc_id, len(d), n_hit, sorted(found), best[0], best[1], name, best[2]))
                 out = pd.DataFrame(rows, columns=COLUMNS)
-                yield out.astype({"doc_id": "Int64", "doc_word": "Int64", "item_word": "Int64"})
+                yield out.astype({"doc_word": "Int64", "item_word": "Int64"})
 
     return run
 
@@ -156,8 +156,8 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words:
     """doc_id, n_words, n_hit, items (ids of the items with a window in the text, sorted), and the longest match with its places in the text and the item."""
     sc = docs.sparkSession.sparkContext
     blocks = [sc.broadcast(b) for b in blocks_of(benchmark, block_words)]
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return src.mapInPandas(_searcher(blocks, window), SCHEMA)
+    src = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return common.long_ids(src.mapInPandas(_searcher(blocks, window), SCHEMA))
 
 
 def is_contaminated():
@@ -174,7 +174,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame
     @F.pandas_udf("boolean")
     def bad(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in texts:
-            out = pd.concat(list(search_all([pd.DataFrame({"doc_id": 0, "text": x})])))
+            out = pd.concat(list(search_all([pd.DataFrame({"doc_id": "", "text": x})])))
             yield pd.Series(((out["n_hit"] > 0) & (20 * out["n_hit"] >= out["n_words"])).to_numpy(bool))
 
     return docs.where(~bad(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))

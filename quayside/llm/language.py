@@ -163,7 +163,8 @@ def _count_words(pdfs):
     for pdf in pdfs:
         for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
             c = Counter(words(text or ""))
-            yield pd.DataFrame({"lang": lang, "word": list(c), "n": list(c.values())})
+            if c:
+                yield pd.DataFrame({"lang": [lang] * len(c), "word": list(c), "n": list(c.values())})
 
 
 def held_out(rest: int, of: int):
@@ -202,7 +203,7 @@ def identify(docs: DataFrame, model: tuple) -> DataFrame:
                     score.append(0.0 if x is None else float(1 / np.exp(x - x[best]).sum()))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": pred, "score": score})
 
-    return docs.select("doc_id", "held_out", "text").mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return common.long_ids(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "held_out", "text").mapInPandas(run, "doc_id string, held_out boolean, lang_pred string, score double"))
 
 
 _made: dict = {}

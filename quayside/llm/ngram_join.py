@@ -175,7 +175,7 @@ def _active(bits: int, num: int, den: int):
         g, d = g[order], d[order]
         ends = np.searchsorted(d, np.arange(k + 1))
         at = np.flatnonzero(keep)
-        return pd.DataFrame({"cls": cls[at], "n": size[at], "prefix": prefix[at], "grams": [g[ends[i] : ends[i + 1]].astype(np.int64) for i in at]})
+        return pd.DataFrame({"cls": cls[at], "n": size[at], "prefix": prefix[at], "grams": pd.Series([g[ends[i] : ends[i + 1]].astype(np.int64) for i in at], dtype="object")})
 
     return run
 
@@ -285,8 +285,8 @@ def _join(num: int, den: int):
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links of Jaccard similarity num/den or more)."""
     spark: SparkSession = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    sets = common.cut(src.mapInPandas(_sets(n), "doc_id long, n_shingles long, cls long"))
+    src = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    sets = common.cut(common.long_ids(src.mapInPandas(_sets(n), "doc_id string, n_shingles long, cls long")))
     parts = common.partitions(spark)
     bits = min(12, max(6, (parts - 1).bit_length()))
     posts = src.select("text").mapInPandas(_postings(n, bits), "bucket long, flush long, data binary")

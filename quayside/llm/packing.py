@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def cut_lengths(n: int, capacity: int, least: int) -> list[int]:
@@ -86,7 +86,7 @@ def _packer(path: str, end_id: int, capacity: int, least: int):
         frame = lambda rows: pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
         for pdf in batches:
             out: list[tuple] = []
-            ids = pdf["doc_id"].astype("Int64").tolist()
+            ids = pdf["doc_id"].tolist()
             texts = [x if isinstance(x, str) else "" for x in pdf["text"]]
             for part in tokens.runs(texts):
                 for doc_id, got in zip(ids[part], enc.encode(texts[part]), strict=True):
@@ -105,8 +105,8 @@ def _packer(path: str, end_id: int, capacity: int, least: int):
 
 def pack(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 2048, least: int = 32) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. capacity: a power of two."""
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInPandas(_packer(path, end_id, capacity, least), SCHEMA)
+    src = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return common.long_ids(src.mapInPandas(_packer(path, end_id, capacity, least), SCHEMA))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,7 +88,7 @@ def _writer(folder: str, path: str, end_id: int):
 
         for pdf in pdfs:
             texts = [x if isinstance(x, str) else "" for x in pdf["text"]]
-            doc_ids = pdf["doc_id"].astype("Int64").tolist()
+            doc_ids = [None if x is None else int(x) for x in pdf["doc_id"]]
             shards = pdf["shard"].tolist()
             for part in tokens.runs(texts):
                 for s, doc_id, ids in zip(shards[part], doc_ids[part], enc.encode(texts[part]), strict=True):
@@ -99,7 +99,7 @@ def _writer(folder: str, path: str, end_id: int):
                         out = files.open_output_stream(f"{temp}.rec", buffer_size=1 << 20)
                         at = 0
                     ids = np.concatenate((ids, end))
-                    record = frame(payload(None if doc_id is pd.NA else doc_id, ids, width))
+                    record = frame(payload(doc_id, ids, width))
                     out.write(record)
                     index.append((at, len(ids)))
                     at += len(record)
@@ -122,6 +122,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 0, shards: int
     files, base = _filesystem(folder)
     files.create_dir(base, recursive=True)
     dealt = src.repartition(shards, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    dealt = dealt.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "shard")
     return common.cut(dealt.mapInPandas(_writer(folder, path, end_id), "shard int, n_docs long, n_ids long"))
 
 
@@ -139,7 +140,7 @@ def _reader(folder: str):
                 if len(rows) != n_docs:
                     raise ValueError(f"shard {shard} holds {len(rows)} records, not {n_docs}")
                 out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
-                out["doc_id"] = out["doc_id"].astype("Int64")
+                out["doc_id"] = [None if r[0] is None else str(r[0]) for r in rows]
                 yield out
 
     return run
@@ -153,7 +154,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
         rows.append((r.shard, start, r.n_docs))
         start += r.n_ids
     shards = spark.createDataFrame(rows, "shard int, start long, n_docs long").repartition(max(1, len(rows)))
-    return shards.mapInPandas(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return common.long_ids(shards.mapInPandas(_reader(folder), "doc_id string, start long, n_tokens long, ids_crc32 long"))
 
 
 def read_at(folder: str, shard: int, i: int) -> tuple[int | None, np.ndarray]:

@@ -134,8 +134,9 @@ def features(words) -> set[str]:
 
 
 def spaced(text: str, model: np.ndarray) -> set[str]:
-    """Words from runs of single letters."""
-    return {w for m in _spaced.findall(text) for w in restore(re.sub(r"[ .\-_*]", "", m), model)}
+    """Words from runs of single letters; the first and the last letter may be words of their own (a, I)."""
+    runs = {re.sub(r"[ .\-_*]", "", m) for m in _spaced.findall(text)}
+    return {w for x in runs for y in (x, x[1:], x[:-1], x[1:-1]) if len(y) > 2 for w in restore(y, model)}
 
 
 class Reader:
