@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from array import array
-from itertools import pairwise
+from itertools import islice, pairwise
 
 import numpy as np
 
 from . import common
 
-#: Chunks whose ids a worker keeps; then it starts afresh. Only speed and memory depend on it.
-KEPT = 1_300_000
+#: Chunks whose ids a worker keeps; beyond that the latest learnt go, down to BACK: frequent chunks are learnt early.
+#: Only speed and memory depend on it.
+KEPT, BACK = 1_200_000, 750_000
 #: Missing chunks that are encoded together.
 TOGETHER = 4_000
 #: White space of the tokenizers' patterns but for the space and the line break.
@@ -100,9 +101,10 @@ class Encoder:
             into[c] = into[h] + line + first[t]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.first) + len(self.later) > KEPT:
-            self.first.clear()
-            self.later.clear()
+        if len(self.later) > KEPT:
+            self.later = dict(islice(self.later.items(), BACK))
+        if len(self.first) > KEPT // 10:
+            self.first = dict(islice(self.first.items(), BACK // 10))
         first, later = self.first, self.later
         later[None] = b""
         split: list[list | None] = []
