@@ -1,8 +1,9 @@
 """N-gram Jaccard join by prefix trees.
 
 1. Every text becomes the set of its distinct word n-grams (hashes). Texts with equal sets form one class.
-2. An inverted index, dealt out by ranges of the hash, finds the n-grams that more than one class holds. An n-gram held
-   once can link nothing, so only the shared ones travel on. The global order of n-grams is ascending document
+2. An inverted index, dealt out by ranges of the hash, finds the n-grams that more than one class holds. Mappers count
+   first: an n-gram comes to the index once from each flush of up to FLUSH_GRAMS, however many classes hold it there,
+   and which of them do waits with the flush. An n-gram held once can link nothing, so only the shared ones travel on. The global order of n-grams is ascending document
    frequency, then hash; n-grams held once come first.
 3. By the prefix bound a class can only link if one of its first n - ceil(t n) + 1 n-grams is shared. Classes whose
    prefix holds only n-grams of their own leave here; the others are grouped by shared prefix n-grams into blocks.
@@ -75,8 +76,30 @@ def _sets(n: int):
     return run
 
 
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """A bit for each count that tells whether it is over one, then the counts over one."""
+    more = counts > 1
+    return np.packbits(more).tobytes() + counts[more].astype(np.uint16).tobytes()
+
+
+def _unpack_counts(x: bytes, k: int, at: int) -> np.ndarray:
+    more = np.unpackbits(np.frombuffer(x, np.uint8, (k + 7) // 8, at), count=k).view(bool)
+    out = np.ones(k, np.int64)
+    out[more] = np.frombuffer(x, np.uint16, int(more.sum()), at + (k + 7) // 8)
+    return out
+
+
+def _pack_grams(g: np.ndarray) -> bytes:
+    """The low 48 bits of n-grams."""
+    return (g >> np.uint64(16)).astype(np.uint32).tobytes() + (g & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
+
+
+def _unpack_grams(x: bytes, k: int, at: int) -> np.ndarray:
+    return np.frombuffer(x, np.uint32, k, at).astype(np.uint64) << np.uint64(16) | np.frombuffer(x, np.uint16, k, at + 4 * k)
+
+
 def _postings(n: int, bits: int):
-    """Rows (bucket, flush, data): n-grams of a hash range with the document's number in the flush; past the buckets, each flush's classes and sizes."""
+    """Rows (bucket, flush, data): a flush's distinct n-grams of a hash range, each with the number of classes that hold it there; past the buckets, each flush's classes, their sizes and which of them hold each n-gram."""
 
     def run(batches):
         common.hold("ngram_join")
@@ -87,20 +110,21 @@ def _postings(n: int, bits: int):
 
         def flush():
             flush_id = (part << 24) | seq
-            g = np.concatenate(sets)
+            g = np.concatenate(sets) >> np.uint64(16 - bits)
             doc = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
             order = np.argsort(g, kind="stable")
             g, doc = g[order], doc[order]
-            ends = np.searchsorted(g, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(g)]
-            low = (g >> np.uint64(16 - bits)) & np.uint64((1 << 48) - 1)
+            first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+            g, counts = g[first], np.diff(np.append(first, len(g)))
+            ends = np.searchsorted(g, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(48)).tolist() + [len(g)]
+            low = g & np.uint64((1 << 48) - 1)
             rows, a = [], 0
             for bucket, b in enumerate(ends):
                 if b > a:
-                    x = low[a:b]
-                    rows.append((bucket, flush_id, (x >> np.uint64(16)).astype(np.uint32).tobytes() + (x & np.uint64(0xFFFF)).astype(np.uint16).tobytes() + doc[a:b].tobytes()))
+                    rows.append((bucket, flush_id, np.uint32(b - a).tobytes() + _pack_grams(low[a:b]) + _pack_counts(counts[a:b])))
                 a = b
-            head = np.array(list(classes), np.int64).tobytes() + np.array([len(s) for s in sets], np.int64).tobytes()
-            rows.append(((1 << bits) + flush_id, flush_id, head))
+            head = np.array([len(sets), len(doc)], np.int64).tobytes() + np.array(list(classes), np.int64).tobytes() + np.array([len(s) for s in sets], np.int64).tobytes()
+            rows.append(((1 << bits) + flush_id, flush_id, head + np.array(ends, np.int64).tobytes() + doc.tobytes() + _pack_counts(counts)))
             return pd.DataFrame(rows, columns=["bucket", "flush", "data"])
 
         for pdf in batches:
@@ -122,29 +146,31 @@ def _postings(n: int, bits: int):
 
 
 def _shared(bits: int):
-    """Of a bucket's postings, those of n-grams that two or more hold: rows (flush, bucket, data)."""
+    """For each flush, which of its n-grams in a bucket two or more classes hold anywhere, and how many: rows (flush, bucket, data). An n-gram comes once from a flush, however many hold it there."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         bucket = int(pdf["bucket"].iloc[0])
         if bucket >= 1 << bits:
             return pd.DataFrame({"flush": pdf["flush"], "bucket": -1, "data": pdf["data"]})
-        grams, docs, flush = [], [], []
-        for i, x in enumerate(pdf["data"]):
-            k = len(x) // 8
-            grams.append(np.frombuffer(x, np.uint32, k).astype(np.uint64) << np.uint64(16) | np.frombuffer(x, np.uint16, k, 4 * k))
-            docs.append(np.frombuffer(x, np.uint16, k, 6 * k))
-            flush.append(np.full(k, i, np.uint32))
-        g, d, f = map(np.concatenate, (grams, docs, flush))
+        grams, counts = [], []
+        for x in pdf["data"]:
+            k = int(np.frombuffer(x, np.uint32, 1)[0])
+            grams.append(_unpack_grams(x, k, 4))
+            counts.append(_unpack_counts(x, k, 4 + 6 * k).astype(np.uint16))
+        ends = np.cumsum([0, *map(len, grams)])
+        g, c = np.concatenate(grams), np.concatenate(counts)
         order = np.argsort(g, kind="stable")
-        g, d, f = g[order], d[order], f[order]
-        starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-        df = np.repeat(np.diff(np.append(starts, len(g))), np.diff(np.append(starts, len(g))))
+        sorted_g = g[order]
+        starts = np.flatnonzero(np.concatenate(([True], sorted_g[1:] != sorted_g[:-1])))
+        total = np.minimum(np.add.reduceat(c[order], starts, dtype=np.int64), 65535).astype(np.uint16)
+        df = np.empty(len(g), np.uint16)
+        df[order] = np.repeat(total, np.diff(np.append(starts, len(g))))
         keep = df > 1
-        g, d, f, df = g[keep], d[keep], f[keep], np.minimum(df[keep], 65535).astype(np.uint16)
-        order = np.argsort(f, kind="stable")
-        g, d, f, df = g[order], d[order], f[order], df[order]
-        ends = np.searchsorted(f, np.arange(len(pdf) + 1))
-        out = [(pdf["flush"].iloc[i], bucket, (g[a:b] >> np.uint64(16)).astype(np.uint32).tobytes() + (g[a:b] & np.uint64(0xFFFF)).astype(np.uint16).tobytes() + d[a:b].tobytes() + df[a:b].tobytes()) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
+        out = []
+        for flush, a, b in zip(pdf["flush"], ends[:-1], ends[1:], strict=True):
+            k = keep[a:b]
+            if k.any():
+                out.append((flush, bucket, np.packbits(k).tobytes() + _pack_grams(g[a:b][k]) + df[a:b][k].tobytes()))
         return pd.DataFrame(out, columns=["flush", "bucket", "data"])
 
     return run
@@ -155,17 +181,24 @@ def _active(bits: int, num: int, den: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         head = pdf.loc[pdf["bucket"] < 0, "data"].iloc[0]
-        k = len(head) // 16
-        cls, size = np.frombuffer(head, np.int64, k), np.frombuffer(head, np.int64, k, 8 * k)
-        grams, docs, dfs = [np.empty(0, np.uint64)], [np.empty(0, np.uint16)], [np.empty(0, np.uint16)]
-        for bucket, x in zip(pdf["bucket"], pdf["data"], strict=True):
+        k, held = np.frombuffer(head, np.int64, 2).tolist()
+        cls, size = np.frombuffer(head, np.int64, k, 16), np.frombuffer(head, np.int64, k, 16 + 8 * k)
+        at = 16 + 16 * k
+        ends = np.frombuffer(head, np.int64, 1 << bits, at).tolist()
+        at += 8 << bits
+        d = np.frombuffer(head, np.uint16, held, at)
+        total = ends[-1]
+        holders = _unpack_counts(head, total, at + 2 * held)
+        kept, gram, df = np.zeros(total, bool), np.zeros(total, np.uint64), np.zeros(total, np.uint16)
+        for bucket, x in zip(pdf["bucket"].tolist(), pdf["data"], strict=True):
             if bucket >= 0:
-                m = len(x) // 10
-                g = np.frombuffer(x, np.uint32, m).astype(np.uint64) << np.uint64(16) | np.frombuffer(x, np.uint16, m, 4 * m)
-                grams.append(g | np.uint64(bucket) << np.uint64(48))
-                docs.append(np.frombuffer(x, np.uint16, m, 6 * m))
-                dfs.append(np.frombuffer(x, np.uint16, m, 8 * m))
-        g, d, f = map(np.concatenate, (grams, docs, dfs))
+                a, b = ends[bucket - 1] if bucket else 0, ends[bucket]
+                w = (b - a + 7) // 8
+                at = a + np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8, w), count=b - a))
+                kept[at] = True
+                gram[at] = _unpack_grams(x, len(at), w) | np.uint64(bucket) << np.uint64(48)
+                df[at] = np.frombuffer(x, np.uint16, len(at), w + 6 * len(at))
+        d, g, f = d[np.repeat(kept, holders)], np.repeat(gram[kept], holders[kept]), np.repeat(df[kept], holders[kept])
         count = np.bincount(d, minlength=k)
         prefix = size - (num * size + den - 1) // den + 1 - (size - count)
         keep = (prefix > 0) & (count > 0)
@@ -288,7 +321,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     src = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     sets = common.cut(common.long_ids(src.mapInPandas(_sets(n), "doc_id string, n_shingles long, cls long")))
     parts = common.partitions(spark)
-    bits = min(12, max(6, (parts - 1).bit_length()))
+    bits = min(16, max(6, (parts - 1).bit_length()))
     posts = src.select("text").mapInPandas(_postings(n, bits), "bucket long, flush long, data binary")
     shared = posts.groupBy("bucket").applyInPandas(_shared(bits), "flush long, bucket long, data binary")
     active = common.cut(shared.groupBy("flush").applyInPandas(_active(bits, num, den), "cls long, n long, prefix long, grams array<long>"))
