@@ -78,9 +78,9 @@ class Bins:
         return [q for b in bins for q in self.close(b)]
 
 
-def _packer(path: str, end_id: int, capacity: int, least: int):
+def _packer(path: str, end_id: int, capacity: int, least: int, kept: int):
     def run(batches):
-        enc = tokens.encoder(path)
+        enc = tokens.encoder(path, kept)
         bins = Bins(capacity, TaskContext.get().partitionId() << 36)
         end = np.array([end_id], np.uint32)
         frame = lambda rows: pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
@@ -103,10 +103,10 @@ def _packer(path: str, end_id: int, capacity: int, least: int):
     return run
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 2048, least: int = 32) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. capacity: a power of two."""
+def pack(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 2048, least: int = 32, kept: int = tokens.KEPT) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. capacity: a power of two; kept: chunks whose ids a worker remembers."""
     src = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return common.long_ids(src.mapInPandas(_packer(path, end_id, capacity, least), SCHEMA))
+    return common.long_ids(src.mapInPandas(_packer(path, end_id, capacity, least, kept), SCHEMA))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,9 @@ import numpy as np
 
 from . import common
 
-#: Chunks whose ids a worker keeps; beyond that the latest learnt go, down to BACK: frequent chunks are learnt early.
-#: Only speed and memory depend on it.
-KEPT, BACK = 1_200_000, 750_000
+#: Chunks whose ids a worker keeps (about 230 bytes each); beyond that the latest learnt go, down to BACK of them: frequent
+#: chunks are learnt early. Only speed and memory depend on it.
+KEPT, BACK = 1_200_000, 0.625
 #: Missing chunks that are encoded together.
 TOGETHER = 4_000
 #: White space of the tokenizers' patterns but for the space and the line break.
@@ -28,9 +28,10 @@ class Encoder:
     aren't white space. Texts that hold a special token's string are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
         from tokenizers import Tokenizer
 
+        self.kept = kept
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.vocabulary = self.tokenizer.get_vocab_size()
@@ -101,10 +102,10 @@ class Encoder:
             into[c] = into[h] + line + first[t]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.later) > KEPT:
-            self.later = dict(islice(self.later.items(), BACK))
-        if len(self.first) > KEPT // 10:
-            self.first = dict(islice(self.first.items(), BACK // 10))
+        if len(self.later) > self.kept:
+            self.later = dict(islice(self.later.items(), int(BACK * self.kept)))
+        if len(self.first) > self.kept // 10:
+            self.first = dict(islice(self.first.items(), int(BACK * self.kept / 10)))
         first, later = self.first, self.later
         later[None] = b""
         split: list[list | None] = []
@@ -153,13 +154,14 @@ def runs(texts: list[str], chars: int = 6_000_000):
         yield slice(a, len(texts))
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 common.forget["tokens"] = _encoders.clear
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each worker process and file."""
+def encoder(path: str, kept: int = KEPT) -> Encoder:
+    """One encoder for each worker process, file and number of chunks to keep."""
     common.hold("tokens")
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, kept) not in _encoders:
+        _encoders.clear()
+        _encoders[path, kept] = Encoder(path, kept)
+    return _encoders[path, kept]
