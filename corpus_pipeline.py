@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from quayside.llm import common, decontaminate, ngram_join, packing, pii, quality
 
 
+#: Chunks whose ids a worker of the packing stage keeps: fewer than op7's, as the executors' heaps have grown in earlier stages.
+KEPT_CHUNKS = 400_000
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     return quality.keep_good(docs)
@@ -39,7 +43,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """A row for each piece of a document in a sequence of at most 2048 ids."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), kept=KEPT_CHUNKS)
 
 
 STAGES = [
