@@ -3,7 +3,9 @@
 1. A character trigram model: counts over all texts of the corpus.
 2. Words with look-alike characters among letters, letters drawn out (three or more) and runs of spaced single letters
    are lattices: a look-alike may stand for its letters or be a separator, a drawn-out letter for one or two. The
-   Viterbi path under channel costs and the character model restores the word.
+   Viterbi path under channel costs and the character model restores the word. Neither a token's length nor its share
+   of letters matters; a token with no letter is a number or a rule and gives no word. What punctuation joins is read
+   part by part and as one.
 3. A lexicon from a bounded sample of labelled rows (SAMPLE_ROWS, the first by a hash of doc_id): words of the restored
    texts, and beginnings of words, of which toxic texts hold nearly all, more than chance over that many words would
    give. Near copies (the same least 3-word hash) count once. A word's weight is its smoothed share of toxic texts; a
@@ -35,7 +37,8 @@ SAMPLE_ROWS, LEXICON, THRESHOLD = 24_000, 4096, 0.7
 LEAST_TEXTS, LEAST_SHARE, CHANCE = 4, 0.9, 4.0
 #: Lengths of the beginnings of words that are features too.
 BEGINNINGS = (4, 5, 6)
-KEPT = 400_000
+#: So many tokens are remembered, of so many characters at most; longer ones are read each time.
+KEPT, REMEMBERED = 400_000, 40
 
 #: What look-alike characters stand for.
 LOOKS = {
@@ -74,10 +77,13 @@ def _code(c: str) -> int:
 
 
 def decode(word: str, model: np.ndarray, drawn: float = DRAWN) -> str:
-    """The likeliest word behind an obfuscated one, lower-cased; letters stay, but for drawn-out ones."""
-    beam: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+    """The likeliest word behind an obfuscated one, lower-cased; letters stay, but for drawn-out ones.
+
+    The time is linear in the word's length: a state holds its last letter and a link to those before it.
+    """
+    beam: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
     for c in word.lower():
-        new: dict[tuple[int, int, str], tuple[float, str]] = {}
+        new: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
         looks = LOOKS.get(c, "")
         choices = [(x, SWAP) for x in looks if x != c]
         if c.isalpha():
@@ -90,42 +96,54 @@ def decode(word: str, model: np.ndarray, drawn: float = DRAWN) -> str:
                     _keep(new, (a, b, last), cost + price, text)
                     continue
                 k = _code(x)
-                _keep(new, (b, k, c), cost + price - model[a, b, k], text + x)
-                if c == last and text[-1:] == x:  # drawn out: the same character once more stands for nothing
+                _keep(new, (b, k, c), cost + price - model[a, b, k], (text, x))
+                if c == last and text and text[1] == x and drawn < math.inf:  # drawn out: the same character once more stands for nothing
                     _keep(new, (a, b, last), cost + drawn, text)
         beam = new
-    return min((cost - model[a, b, 0], text) for (a, b, _), (cost, text) in beam.items())[1]
+    return min((cost - model[a, b, 0], _spell(text)) for (a, b, _), (cost, text) in beam.items())[1]
 
 
 def restore(word: str, model: np.ndarray) -> tuple[str, ...]:
-    """The likeliest word, with drawn-out letters shortened and as they are."""
-    return tuple({decode(word, model), decode(word, model, math.inf)})
+    """The likeliest word, with drawn-out letters shortened to one or two and as they are."""
+    return tuple({decode(_drawn.sub(r"\1\1", word.lower()), model), decode(word, model, math.inf)})
 
 
-def _keep(new: dict, key: tuple, cost: float, text: str) -> None:
-    if key not in new or (cost, text) < new[key]:
+def _keep(new: dict, key: tuple, cost: float, text: tuple | None) -> None:
+    """Of equally likely texts the first stays."""
+    if key not in new or cost < new[key][0]:
         new[key] = (cost, text)
 
 
+def _spell(text: tuple | None) -> str:
+    out = []
+    while text:
+        text, x = text
+        out.append(x)
+    return "".join(reversed(out))
+
+
 _spaced = re.compile(r"(?<![^\s])(?:[^\W_] ){2,}[^\W_](?![^\s.,;:!?])|(?<!\w)(?:[^\W_][.\-_*]){2,}[^\W_](?!\w)")
 _odd = re.compile(r"[0-9@$!|+(€£¡*#]")
 _edges = re.compile(r"^[^\w@$]+|[\W_]+$")
-_drawn = re.compile(r"([^\W\d_])\1\1")
+_drawn = re.compile(r"([^\W\d_])\1{2,}")
 _punct = re.compile(r"[^\W\d_]+")
+#: What joins words: neither a letter nor a digit nor another look-alike.
+_joins = re.compile(r"(?:[^\w@$!|+(€£¡*#]|_)+")
 
 
 def plain(token: str, model: np.ndarray) -> tuple[str, ...]:
-    """The words that a token is read as."""
+    """The words that a token of any length is read as."""
     core = _edges.sub("", token.lower())
-    if not core or len(core) > 40:
-        return ()
     if core.isalpha():
         return (core, *restore(core, model)) if _drawn.search(core) else (core,)
     parts = tuple(_punct.findall(core))
-    letters = sum(map(len, parts))
-    if len(core) <= 24 and letters >= 2 and 3 * letters >= len(core) and (_odd.search(core) or _drawn.search(core) or max(map(len, parts)) < 3):
-        return (*parts, *restore(core, model))
-    return parts
+    if not parts:
+        return ()
+    odd = [x for x in _joins.split(core) if _odd.search(x) and _punct.search(x)]
+    odd += filter(_drawn.search, parts)
+    if odd or max(map(len, parts)) < 3:
+        odd.append(core)
+    return (*parts, *(w for x in dict.fromkeys(odd) for w in restore(x, model)))
 
 
 def features(words) -> set[str]:
@@ -149,11 +167,13 @@ class Reader:
     def words(self, text: str) -> set[str]:
         if len(self.known) > KEPT:
             self.known.clear()
-        tokens = set(text.split())
-        for t in tokens.difference(self.known):
-            self.known[t] = tuple(features(plain(t, self.model)))
         out = features(spaced(text, self.model))
-        out.update(*map(self.known.__getitem__, tokens))
+        for t in set(text.split()):
+            if (found := self.known.get(t)) is None:
+                found = tuple(features(plain(t, self.model)))
+                if len(t) <= REMEMBERED:
+                    self.known[t] = found
+            out.update(found)
         return out
 
 
@@ -172,9 +192,12 @@ class Scorer(Reader):
         if len(self.known) > KEPT:
             self.known.clear()
         tokens, known = set(text.split()), self.known
-        for t in tokens.difference(known):
-            known[t] = self._least(plain(t, self.model))
-        found = sorted(filter(None, map(known.__getitem__, tokens)))
+        long = [self._least(plain(t, self.model)) for t in tokens if len(t) > REMEMBERED]
+        tokens = [t for t in tokens if len(t) <= REMEMBERED]
+        for t in tokens:
+            if t not in known:
+                known[t] = self._least(plain(t, self.model))
+        found = sorted(filter(None, [*long, *map(known.__getitem__, tokens)]))
         found += filter(None, (self._least([w]) for w in sorted(spaced(text, self.model))))
         return 1 - math.exp(math.fsum(found)) * (1 - self.base)
 
