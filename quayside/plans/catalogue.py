@@ -206,7 +206,7 @@ def offers_jsonld(s, d):
 
 @query(with_tables("compliance", f"select product_id, case when status in ('expired', 'rejected') then 0 when status = 'verified' and pesticides = 'pass' and heavy_metals = 'pass' and microbials = 'pass' then 3 when status = 'verified' then 2 else 1 end as tier from compliance where record_id % 10 = 0"))
 def compliance_tier(s, d):
-    return bind.compliance(s, d).where("record_id % 10 = 0").select("product_id", scoring.compliance_tier(F.col("status"), F.col("pesticides"), F.col("heavy_metals"), F.col("microbials")).alias("tier"))
+    return bind.compliance(s, d).select("record_id", "product_id", scoring.compliance_tier(F.col("status"), F.col("pesticides"), F.col("heavy_metals"), F.col("microbials")).alias("tier"))
 
 
 @query(with_tables("review", "select p_partkey as product_id, round(case when n is null then 4.2 else (4.2 * 20 + a * n) / (20 + n) end, 6) as rating from part left join (select product_id, avg(rating) as a, count(*) as n from review where status = 'published' group by 1) on product_id = p_partkey"))
