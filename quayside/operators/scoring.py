@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import clamp
 from .ledger import half_up
@@ -70,7 +70,7 @@ def rank_score(tier: Column, health: Column, verification: Column, rating: Colum
 
 
 def promote(ids: list, sponsored: list[bool], tiers: list[int], most: int = 2) -> list:
-    """A page's order with sponsored items moved up two places, from the end, past an item of no higher tier; at most `most` moves, of which one item may take several."""
+    """A list's order with sponsored items moved up two places, from the end, past an item of no higher tier; at most `most` moves, of which one item may take several."""
     page = list(zip(ids, sponsored, tiers, strict=True))
     left = most
     for at in reversed(range(1, len(page))):
@@ -82,16 +82,30 @@ def promote(ids: list, sponsored: list[bool], tiers: list[int], most: int = 2) -
 
 
 def ranked_pages(rows: DataFrame, page: str, sensitive: bool = False) -> DataFrame:
-    """Rows (page key, id, score, seq, sponsored, tier) with their position; a page is one category's list of at most a few dozen rows, cut before."""
-    if sensitive:
-        from pyspark.sql.window import Window
-
-        return rows.withColumn("position", F.row_number().over(Window.partitionBy(page).orderBy(F.desc("score"), "seq"))).select(page, "id", "position")
+    """Rows (page key, id, score, seq, sponsored, tier) with their position in the page's whole list, of any length.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "seq"], ascending=[False, True])
-        order = promote(pdf["id"].tolist(), pdf["sponsored"].tolist(), pdf["tier"].tolist())
-        return pd.DataFrame({page: pdf[page].iloc[0], "id": order, "position": range(1, len(order) + 1)})
-
-    kind = rows.schema[page].dataType.simpleString()
-    return rows.groupBy(page).applyInPandas(run, f"{page} {kind}, id long, position int")
+    Promotion as promote() with two moves: what moves is found by windows, and the positions around it are shifted.
+    """
+    w = Window.partitionBy(page).orderBy(F.desc("score"), "seq")
+    rows = rows.withColumn("at", F.row_number().over(w))
+    if sensitive:
+        return rows.select(page, "id", F.col("at").alias("position"))
+    paid = F.coalesce(F.col("sponsored"), F.lit(False))
+    rows = rows.select(page, "id", "at", "tier", paid.alias("paid"), *(F.lag("tier", i).over(w).alias(f"tier_{i}") for i in (1, 2, 3)), F.lag(paid, 2).over(w).alias("paid_2"))
+    # The last that may move is the first move. What is three places and more before it stands as it was for the second.
+    may = rows.where(F.col("paid") & (F.col("tier") >= F.col("tier_1")))
+    last = may.groupBy(page).agg(F.max_by(F.struct("at", "tier", "tier_2", "tier_3", "paid_2"), "at").alias("x")).select(F.col(page).alias("of"), "x.*").withColumnRenamed("at", "first")
+    same = F.col(page).eqNullSafe(F.col("of"))
+    rest = may.select(page, "at").join(last.select("of", "first"), same).where("at <= first - 3").groupBy(F.col("of").alias("too")).agg(F.max("at").alias("rest"))
+    # Behind the first move, the item that was two before it stands right behind it; it may pass it, or the moved item goes on.
+    passes = F.when(F.col("paid_2") & (F.col("tier_2") >= F.col("tier")), F.col("first") - 1)
+    again = F.when(F.col("tier") >= F.col("tier_3"), F.col("first") - 2)
+    moves = last.join(rest, F.col("of").eqNullSafe(F.col("too")), "left").select("of", "first", F.coalesce(passes, again, "rest").alias("second"))
+
+    def moved(at: Column, start: Column) -> Column:
+        to = F.greatest(F.lit(1), start - 2)
+        return F.when(at == start, to).when((at >= to) & (at < start), at + 1).otherwise(at)
+
+    # At most one row of moves a page.
+    out = rows.select(page, "id", "at").join(moves, same, "left")
+    return out.withColumn("at", moved(F.col("at"), F.col("first"))).select(page, "id", moved(F.col("at"), F.col("second")).cast("int").alias("position"))

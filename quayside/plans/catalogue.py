@@ -267,14 +267,13 @@ def _scored(s, d):
 @query(f"select page, id, position from (select *, row_number() over (partition by page order by score desc, id) as position from ({_RANK_SQL})) where position <= 24")
 def rank_products(s, d):
     w = Window.partitionBy("page").orderBy(F.desc("score"), "id")
-    return _scored(s, d).withColumn("position", F.row_number().over(w)).where("position <= 24").select("page", "id", "position")
+    return _scored(s, d).withColumn("position", F.row_number().over(w)).select("page", "id", "position")
 
 
 @query()
 def rank_products_sponsored(s, d):
-    w = Window.partitionBy("page").orderBy(F.desc("score"), "id")
-    top = _scored(s, d).withColumn("seq", F.row_number().over(w)).where("seq <= 24")
-    return scoring.ranked_pages(top.withColumn("sponsored", F.col("id") % 6 == 0), "page")
+    rows = _scored(s, d).withColumn("seq", F.col("id"))
+    return scoring.ranked_pages(rows.withColumn("sponsored", F.col("id") % 6 == 0), "page")
 
 
 # Search
