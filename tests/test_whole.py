@@ -55,3 +55,11 @@ def test_rank_products_ranks_everything(spark):
     got = order(catalogue.QUERIES["rank_products"](spark, SF).collect())
     assert got == promoted([x | {"sponsored": False} for x in scored]) and max(map(len, got.values())) > 24
     assert order(catalogue.QUERIES["rank_products_sponsored"](spark, SF).collect()) == promoted(scored)
+
+
+def test_commission_resolve_reads_every_rule(spark):
+    newest = {}
+    for r in bind.table(spark, SF, "lineitem").where("l_returnflag = 'N'").collect():
+        newest[r.l_suppkey] = max(newest.get(r.l_suppkey, (r.l_shipdate, 0)), (r.l_shipdate, r.l_linenumber))
+    got = {r.vendor_id: round(r.rate, 6) for r in catalogue.QUERIES["commission_resolve"](spark, SF).collect()}
+    assert got == {r.s_suppkey: newest[r.s_suppkey][1] / 100 if r.s_suppkey in newest else 0.12 for r in bind.table(spark, SF, "supplier").collect()}
