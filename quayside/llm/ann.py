@@ -97,8 +97,16 @@ def _query_rows(dim, tables, hashes, width, probes):
     return run
 
 
+def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of rows (of a row and rows), added up one component after another, as Spark does."""
+    s = np.zeros(len(x))
+    for i in range(x.shape[1]):
+        s += q[..., i] * x[:, i]
+    return s
+
+
 def _searcher(keep: int):
-    """Of a shard's classes, the keep best of the visited ones for each query."""
+    """Of a shard's classes, the keep best of the visited ones for each query by exact score, ties to the smaller class."""
 
     def run(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame({"qcls": pd.Series(dtype="int64"), "cls": pd.Series(dtype="int64"), "near": pd.Series(dtype="float64")})
@@ -108,6 +116,8 @@ def _searcher(keep: int):
         order = np.argsort(index["bucket"].to_numpy(), kind="stable")
         x, cls, bucket = decode(index["data"])[order], index["cls"].to_numpy()[order], index["bucket"].to_numpy()[order]
         q, qcls = decode(queries["data"]), queries["qcls"].to_numpy()
+        # Scores of a product of matrices and exact ones that are further apart than this are in the same order.
+        margin = (x.shape[1] + 2) * 2.0**-50 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
         visits = np.concatenate([np.asarray(b, np.int64) for b in queries["buckets"]])
         who = np.repeat(np.arange(len(q)), [len(b) for b in queries["buckets"]])
         order = np.argsort(visits, kind="stable")
@@ -119,16 +129,28 @@ def _searcher(keep: int):
             for i in range(va, vb, QUERY_ROWS):
                 w = who[i : min(vb, i + QUERY_ROWS)]
                 s = q[w] @ x[lo:hi].T
-                top = np.argpartition(-s, keep, axis=1)[:, :keep] if hi - lo > keep else np.broadcast_to(np.arange(hi - lo), s.shape)
-                best.append((np.repeat(w, top.shape[1]), cls[lo:hi][top].ravel(), np.take_along_axis(s, top, 1).ravel()))
+                if hi - lo > keep:
+                    top = s >= (np.partition(s, hi - lo - keep, axis=1)[:, hi - lo - keep] - margin[w])[:, None]
+                    for k in np.flatnonzero(top.sum(1) > keep):  # ties, or nearly
+                        some = np.flatnonzero(top[k])
+                        top[k, some[np.lexsort((cls[lo + some], -_exact(q[w[k]], x[lo + some])))[keep:]]] = False
+                else:
+                    top = np.ones(s.shape, bool)
+                at, of = np.nonzero(top)
+                best.append((w[at], lo + of, s[at, of]))
         if not best:
             return out
         w, c, s = (np.concatenate(z) for z in zip(*best, strict=True))
-        order = np.lexsort((c, -s, w))
+        order = np.lexsort((-s, w))
+        w, c, s = w[order], c[order], s[order]
+        last = np.minimum(np.searchsorted(w, w) + keep, np.searchsorted(w, w, "right")) - 1
+        ok = s >= s[last] - margin[w]
+        w, c = w[ok], c[ok]
+        s = np.concatenate([_exact(q[w[i : i + 65_536]], x[c[i : i + 65_536]]) for i in range(0, len(w), 65_536)])
+        order = np.lexsort((cls[c], -s, w))
         w, c, s = w[order], c[order], s[order]
-        place = np.arange(len(w)) - np.searchsorted(w, w)
-        ok = place < keep
-        return pd.DataFrame({"qcls": qcls[w[ok]], "cls": c[ok], "near": s[ok]})
+        ok = np.arange(len(w)) - np.searchsorted(w, w) < keep
+        return pd.DataFrame({"qcls": qcls[w[ok]], "cls": cls[c[ok]], "near": s[ok]})
 
     return run
 

@@ -2,7 +2,10 @@
 
 import time
 
-from quayside.llm import toxicity
+import numpy as np
+import pytest
+
+from quayside.llm import ann, toxicity
 
 
 def test_toxicity_reads_tokens_of_any_length():
@@ -30,3 +33,23 @@ def test_toxicity_decodes_in_linear_time():
     start = time.perf_counter()
     toxicity.plain("l0s3r" * 20_000, model)
     assert time.perf_counter() - start < 30
+
+
+@pytest.mark.parametrize("how", [dict(tables=1, hashes=0, probes=1), dict(tables=1, hashes=0, probes=1, group_rows=100)])
+def test_neighbours_of_quantised_vectors_tie_to_the_smaller_id(spark, how):
+    rng = np.random.default_rng(3)
+    vecs = np.unique(rng.integers(0, 2, (500, 10)) * 0.1, axis=0)
+    vecs = vecs[vecs.any(1)][rng.permutation(int(vecs.any(1).sum()))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in ann.search(df, df.where("vec_id % 7 = 0"), k=5, **how).collect()}
+
+    def score(a, b):
+        total = 0.0
+        for p, r in zip(a, b, strict=True):
+            total += p * r
+        return total
+
+    # With no hash everything is visited.
+    for q in range(0, len(vecs), 7):
+        want = sorted((-score(vecs[q], v), i) for i, v in enumerate(vecs) if i != q)[:5]
+        assert [got[q, k + 1] for k in range(5)] == [i for _, i in want]
