@@ -22,7 +22,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a Jaccard similarity of 0.8 or more over five-word shingles, the smallest doc_id stays."""
+    """Of each group linked by a Jaccard similarity of 0.8 or more over five-word shingles, one row stays, of the smallest doc_id."""
     return ngram_join.keep_one(docs, n=5, num=80, den=100)
 
 

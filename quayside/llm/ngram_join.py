@@ -71,7 +71,7 @@ def _sets(n: int):
         common.hold("ngram_join")
         for pdf in batches:
             sets = [gram_set(x, n) for x in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": [len(s) for s in sets], "cls": pd.array([_class_of(s) if len(s) else None for s in sets], "Int64")})
+            yield pd.DataFrame({**pdf.drop(columns="text"), "n_shingles": [len(s) for s in sets], "cls": pd.array([_class_of(s) if len(s) else None for s in sets], "Int64")})
 
     return run
 
@@ -315,11 +315,11 @@ def _join(num: int, den: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block_grams: int = BLOCK_GRAMS) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links of Jaccard similarity num/den or more)."""
+def _linked(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", block_grams: int = BLOCK_GRAMS, keyed: bool = False) -> DataFrame:
+    """For each row doc_id, n_shingles, cls and comp (null without words), the component's number; if keyed, key too, the text's hash."""
     spark: SparkSession = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    sets = common.cut(common.long_ids(src.mapInPandas(_sets(n), "doc_id string, n_shingles long, cls long")))
+    src = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), *([F.xxhash64(text_col).alias("key")] if keyed else []), F.col(text_col).cast("binary").alias("text"))
+    sets = common.cut(common.long_ids(src.mapInPandas(_sets(n), f"doc_id string,{' key long,' if keyed else ''} n_shingles long, cls long")))
     parts = common.partitions(spark)
     bits = min(16, max(6, (parts - 1).bit_length()))
     posts = src.select("text").mapInPandas(_postings(n, bits), "bucket long, flush long, data binary")
@@ -344,15 +344,32 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     links = rows.drop("chunks").groupBy("bin").applyInPandas(_join(num, den), "u long, v long")
     labels = common.components(links)
 
-    named = sets.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("label", "cls"))
+    return sets.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("label", "cls"))
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links of Jaccard similarity num/den or more)."""
+    named = _linked(docs, n, num, den, id_col, text_col, block_grams)
     least = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     return named.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without the members of a group that aren't its smallest doc_id. Rows with no doc_id stay; of rows with the same doc_id all stay or go."""
-    gone = jaccard_components(docs, n, num, den).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each group: of the smallest doc_id (rows with none come last), then the least hash of the text, then the least row. Rows without words all stay."""
+    named = _linked(docs, n, num, den, keyed=True).where("comp is not null")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = named.groupBy("comp").agg(F.min(row).alias("first"))
+    pairs = named.groupBy("comp", "doc_id", "key").agg(F.count("*").alias("rows")).join(first, "comp")
+    # Rows that go, and those of which one stays; the rest isn't listed.
+    marks = common.cut(pairs.select(F.col("doc_id").alias("mark_id"), F.col("key").alias("mark_key"), row.eqNullSafe(F.col("first")).alias("mark_first"), "rows").where("not mark_first or rows > 1").drop("rows"))
+    key = F.xxhash64(docs["text"])
+    same = (key == F.col("mark_key")) & docs["doc_id"].cast("long").eqNullSafe(F.col("mark_id"))
+    kept = docs.join(marks, same, "left_anti")
+    again = marks.where("mark_first")
+    if again.limit(1).count():
+        some = docs.join(again, same, "left_semi")
+        kept = kept.unionByName(some.groupBy(F.xxhash64("text"), "doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
+    return kept.select(*docs.columns)
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

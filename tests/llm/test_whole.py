@@ -5,7 +5,7 @@ import time
 import numpy as np
 import pytest
 
-from quayside.llm import ann, toxicity
+from quayside.llm import ann, ngram_join, toxicity
 
 
 def test_toxicity_reads_tokens_of_any_length():
@@ -53,3 +53,14 @@ def test_neighbours_of_quantised_vectors_tie_to_the_smaller_id(spark, how):
     for q in range(0, len(vecs), 7):
         want = sorted((-score(vecs[q], v), i) for i, v in enumerate(vecs) if i != q)[:5]
         assert [got[q, k + 1] for k in range(5)] == [i for _, i in want]
+
+
+def test_keep_one_decides_by_row(spark):
+    text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcd"}
+    near = text["a"] + " end"
+    rows = [(1, text["a"], "s"), (1, text["a"], "s"), (1, text["a"], "r"), (2, near, "s"), (2, text["b"], "s"), (None, near, "s"), (None, text["c"], "s"), (None, text["c"], "s"), (3, text["d"].upper(), "s"), (4, text["d"], "s"), (5, None, "s"), (5, None, "s"), (None, "", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as key", "2 as row", "3 as comp")
+    got = sorted(((r.doc_id, r.text, r.source) for r in ngram_join.keep_one(df).collect()), key=str)
+    assert got == sorted([(1, text["a"], "r"), (2, text["b"], "s"), (None, text["c"], "s"), (3, text["d"].upper(), "s"), (5, None, "s"), (5, None, "s"), (None, "", "s")], key=str)
+    unique = df.where("doc_id = 3")
+    assert ngram_join.keep_one(unique).collect() == unique.collect()
