@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from array import array
 from itertools import islice, pairwise
 
@@ -17,6 +18,11 @@ TOGETHER = 4_000
 #: White space of the tokenizers' patterns but for the space and the line break.
 RARE = [chr(c) for c in (9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
+#: Where a chunk may be cut besides its first space: a line break between characters that aren't white space, and a full
+#: stop or comma at its end behind an ASCII letter or digit.
+_line = re.compile(r"(?<=\S)\n(?=\S)")
+_ended = re.compile(r"[A-Za-z0-9][.,]\Z")
+
 
 class Encoder:
     """encode(texts) gives what encode_batch(texts, add_special_tokens=False) of the tokenizers library gives, as uint32 arrays.
@@ -24,8 +30,9 @@ class Encoder:
     A pre-token of these tokenizers never holds a character that isn't white space with white space behind it, so a text
     may be cut before a space that follows such a character, and each chunk's ids depend on the chunk alone. The chunks
     repeat, so most ids come from a dictionary; the library encodes the others. Likewise a full stop or comma at a
-    chunk's end, behind a letter or digit, is a pre-token of its own, and a single line break between two characters that
-    aren't white space. Texts that hold a special token's string are encoded whole.
+    chunk's end, behind an ASCII letter or digit, is a pre-token of its own (other letters may become a letter and a mark
+    in normalisation, which the full stop would join), and a single line break between two characters that aren't white
+    space. Texts that hold a special token's string are encoded whole.
     """
 
     def __init__(self, path: str, kept: int = KEPT):
@@ -67,39 +74,31 @@ class Encoder:
                 into.update(zip(part, [data[a:b] for a, b in pairwise(ends)], strict=True))
 
     def _learn(self, chunks: set[str], into: dict, space: str) -> None:
+        """Put the ids of chunks into a dictionary; space: what stands before each of them."""
         letters, ended, whole, lines = [], [], [], []
         for c in chunks:
             if space and c.isalpha():
                 letters.append(c)
-            elif c[-1:] in (".", ",") and c[-2:-1].isalnum():
+            elif "\n" in c and _line.search(c):
+                lines.append((c, _line.split(c)))
+            elif _ended.search(c):
                 ended.append(c)
-            elif "\n" in c:
-                lines.append(c)
-            else:
-                whole.append(c)
-        split = []
-        for c in lines:
-            head, _, tail = c.partition("\n")
-            if head and tail and not head[-1].isspace() and not tail[0].isspace():
-                split.append((c, head, tail))
             else:
                 whole.append(c)
         self._letters(letters, into, space)
         self._library(whole, into, space)
-        heads = {c[:-1] for c in ended}
-        heads.update(h for _, h, _ in split)
-        if heads := heads.difference(into):
+        # What is cut off is learnt by itself; neither kind of piece is cut into lines again.
+        if heads := {c[:-1] for c in ended}.union(x[0] for _, x in lines).difference(into):
             self._learn(heads, into, space)
         first = self.first
-        if tails := {t for _, _, t in split}.difference(first):
+        if tails := {t for _, x in lines for t in x[1:]}.difference(first):
             self._learn(tails, first, "")
         if marks := {".", ",", "\n"}.difference(first):
             self._library(list(marks), first, "")
         for c in ended:
             into[c] = into[c[:-1]] + first[c[-1]]
-        line = first["\n"]
-        for c, h, t in split:
-            into[c] = into[h] + line + first[t]
+        for c, (head, *rest) in lines:
+            into[c] = first["\n"].join([into[head], *map(first.__getitem__, rest)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.later) > self.kept:

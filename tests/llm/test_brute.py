@@ -128,6 +128,12 @@ def test_encoder_equals_the_library(docs, name):
     odd = ["", " ", "  a", "a \n b", "a\t b", "x ́y", "a　 b", "<|endoftext|> hi", "don't  I'll 12 3", "a\x1c b \x1d c", "a ", "\n\n x\n y", "a.\nB", "1, 2. 3.", "Ⅷ ٣ x²", "ǅ ʰa ªb"]
     r = random.Random(5)
     odd += ["".join(r.choice("ab é.,'\n\t ́1Ǆ　") for _ in range(30)) for _ in range(500)]
+    # Letters that become a letter and a mark when normalised, lines without blanks, and each of many letters before and after what is cut at.
+    odd += ["ANKARA VALİLİĞİ.", "VALİLİĞİ, 2024", "a\n" * 5_000 + "b", "\n".join(["abc. de,\nf."] * 3_000), "a\n.b", "x\ńy"]
+    letters = [*map(chr, [*range(0x80, 0x2000), *range(0x9DC, 0x9E0), 0x212A, 0x212B, 0xAC00, 0xFB1D, 0x1D400])]
+    odd += [t for c in letters if c.isalnum() for t in (f"x{c}. y", f"{c}, b", f"a\n{c}\nb {c}.")]
+    pool = "ab é.,'\n\t İ1Ǆ　\x85क़ড় "
+    odd += ["".join(r.choice(pool) for _ in range(r.randint(1, 20))) for _ in range(5_000)]
     texts = [*docs["text"], *odd]
     for got, want in zip(e.encode(texts), e.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
         assert got.tolist() == want.ids
