@@ -3,21 +3,28 @@
 Heuristic labellers (LABELLERS) vote good (1), bad (0) or abstain (-1) on every text. How often each pattern of votes
 occurs in the whole table is counted, and expectation-maximisation over these counts estimates each labeller's accuracy
 and the share of good texts, no label being read. The posterior of a text's pattern is its weak label. A bounded sample
-(SAMPLE_DOCS, the first by a hash of doc_id and text) with its weak labels trains a linear scorer on hashed features:
-words, their shapes, and the labellers' measurements in steps. Every text is scored by it.
+(of the distinct pairs of doc_id and text the first SAMPLE_DOCS by their hash, of SAMPLE_CHARS characters together at
+most, whole texts; the shortest, if each is longer) with its weak labels trains a linear scorer on hashed features: words,
+their shapes, and the labellers' measurements in steps. Every text is scored by it.
 
 Null counts as an empty text; an empty text has a score like any other (the labellers vote it bad). Repeated rows score
-alike. With no rows, or weak labels all of one side, the score is the share of good labels (1 if there are none).
+alike and stand in the sample once, so the model doesn't depend on the partitions. With no rows, or weak labels all of one
+side, the score is near 1 where they are good or none, else near 0. An empty table gives no rows. Texts of any length are
+read whole, in time linear in it. Other columns than doc_id and text play no part; keep_good returns them as they are.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 import re
 import uuid
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from operator import eq
+from itertools import islice
+from operator import eq, mul
 
 import numpy as np
 import pandas as pd
@@ -27,9 +34,10 @@ from pyspark.sql import functions as F
 from . import common
 from .linear import fit_logistic
 
-SAMPLE_DOCS, DIM = 6_000, 1 << 18
+SAMPLE_DOCS, SAMPLE_CHARS, DIM = 6_000, 16_000_000, 1 << 18
 KEEP = 0.5
-KEPT = 300_000
+#: Words whose weights a worker keeps; beyond that the latest learnt go, down to BACK of them.
+KEPT, BACK = 300_000, 0.625
 
 _UPPER, _LOWER, _MARK, _SPACE = (np.zeros(256, bool) for _ in range(4))
 _UPPER[65:91] = True
@@ -43,25 +51,31 @@ LABELLERS = [("marks", 0.25, 0.03), ("ends", 0.2, 0.03), ("doubled", 0.2, 0.02),
 SCANT, UNSURE = 8, ("distinct", "short", "lines", "upper", "repeats", "top", "packed")
 
 
-def measure(text: str) -> list[float]:
-    """Marks for each word, share of words that end in a mark, doubled marks for each word, share of capitals, share of words like the one before, share of distinct words (of the square-root scale), share of short words, words, share of repeated lines, share of the most frequent word, size after compression."""
+def measured(text: str) -> tuple[list[float], Counter, int]:
+    """measure(text), how often each word occurs, and the number of words."""
     parts = text.split()
     n = len(parts)
     if not n:
-        return [0.0] * len(MEASURES)
+        return [0.0] * len(MEASURES), Counter(), 0
     data = text.encode() + b" "
     b = np.frombuffer(data, np.uint8)
     counts = Counter(parts)
     c = np.bincount(b, minlength=256)
-    mark = _MARK[b]
+    mark = np.flatnonzero(_MARK[b])  # the last byte is a space
+    behind = b[mark + 1]
     upper, lower = c[_UPPER].sum(), c[_LOWER].sum()
     lines = [x for x in text.split("\n") if x]
-    sizes = np.fromiter(map(len, parts), np.int64, n)
+    short = sum(k for w, k in counts.items() if len(w) <= 3)
     return [
-        mark.sum() / n, (mark[:-1] & _SPACE[b[1:]]).sum() / n, (mark[:-1] & (b[:-1] == b[1:])).sum() / n, upper / max(1, upper + lower),
-        sum(map(eq, parts, parts[1:])) / max(1, n - 1), min(1.0, len(counts) / min(n, 12 * n**0.5)), float((sizes <= 3).mean()), float(n), 1 - len(set(lines)) / max(1, len(lines)),
+        len(mark) / n, int(_SPACE[behind].sum()) / n, int((b[mark] == behind).sum()) / n, upper / max(1, upper + lower),
+        sum(map(eq, parts, islice(parts, 1, None))) / max(1, n - 1), min(1.0, len(counts) / min(n, 12 * n**0.5)), short / n, float(n), 1 - len(set(lines)) / max(1, len(lines)),
         max(counts.values()) / n, len(zlib.compress(data, 1)) / len(data),
-    ]
+    ], counts, n
+
+
+def measure(text: str) -> list[float]:
+    """Marks for each word, share of words that end in a mark, doubled marks for each word, share of capitals, share of words like the one before, share of distinct words (of the square-root scale), share of short words, words, share of repeated lines, share of the most frequent word, size after compression."""
+    return measured(text)[0]
 
 
 def votes(m: np.ndarray) -> np.ndarray:
@@ -103,10 +117,13 @@ _classes = str.maketrans({**{c: "A" for c in map(chr, range(65, 91))}, **{c: "a"
 _runs = re.compile(r"(.)\1+")
 
 
+@functools.lru_cache(maxsize=200_000)
 def _slots(word: str) -> tuple[int, int]:
     """Hashed features of a word: the word, lower-cased, and its shape with runs shortened."""
-    shape = _runs.sub(r"\1", "".join("a" if c.isalpha() and not c.isupper() else "A" if c.isalpha() else c for c in word.translate(_classes)))[:12]
-    return zlib.crc32(word.lower().encode()) % DIM, zlib.crc32(b"\0" + shape.encode()) % DIM
+    shape = word.translate(_classes)
+    if not word.isascii():
+        shape = "".join("a" if c.isalpha() and not c.isupper() else "A" if c.isalpha() else c for c in shape)
+    return zlib.crc32(word.lower().encode()) % DIM, zlib.crc32(b"\0" + _runs.sub(r"\1", shape)[:12].encode()) % DIM
 
 
 #: Steps of each measure.
@@ -115,16 +132,15 @@ _SLOT = {(m, s): zlib.crc32(f"\1{m}={s}".encode()) % DIM for m in MEASURES for s
 
 
 def _measure_slots(m: list[float]) -> list[int]:
-    return [_SLOT[name, int(np.searchsorted(_STEPS[name], x, "right"))] for name, x in zip(MEASURES, m, strict=True)]
+    return [_SLOT[name, bisect_right(_STEPS[name], x)] for name, x in zip(MEASURES, m, strict=True)]
 
 
-def features(text: str, m: list[float]) -> dict[int, float]:
+def features(m: list[float], counts: Counter, n: int) -> dict[int, float]:
     """Words and shapes by share of the words, measures at weight 1."""
     out: dict[int, float] = {}
-    parts = text.split()
-    for w in parts:
+    for w, k in counts.items():
         for s in _slots(w):
-            out[s] = out.get(s, 0.0) + 1 / len(parts)
+            out[s] = out.get(s, 0.0) + k / n
     for s in _measure_slots(m):
         out[s] = out.get(s, 0.0) + 1
     return out
@@ -139,31 +155,41 @@ def _vote_rows(pdfs):
 
 def _feature_rows(pdfs):
     for pdf in pdfs:
-        ms = [measure(x or "") for x in pdf["text"]]
-        v = votes(np.array(ms).reshape(-1, len(MEASURES)))
-        some = [features(x or "", m) for x, m in zip(pdf["text"], ms, strict=True)]
-        yield pd.DataFrame({"votes": [bytes((r + 1).tolist()) for r in v], "slots": [list(f) for f in some], "shares": [list(f.values()) for f in some]})
+        rows = []
+        for key, text in zip(pdf["key"], pdf["text"], strict=True):
+            m, counts, n = measured(text or "")
+            f = features(m, counts, n)
+            rows.append((key, bytes((votes(np.array([m]))[0] + 1).tolist()), np.array(list(f), np.int32).tobytes(), np.array(list(f.values()), np.float32).tobytes()))
+        yield pd.DataFrame(rows, columns=["key", "votes", "slots", "shares"])
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict:
     """The model of docs (doc_id, text): weights, bias, share and accuracies (a labeller's chance of being right when it votes)."""
     src = docs.select("doc_id", "text")
     # At most 3 ** len(LABELLERS) patterns reach the driver.
     found = src.select("text").mapInPandas(_vote_rows, "votes binary").groupBy("votes").count().collect()
     if not found:
         return {"weights": np.zeros(DIM), "bias": 10.0, "share": 1.0, "accuracies": {}}
+    found.sort(key=lambda r: bytes(r.votes))
     patterns = np.array([list(r.votes) for r in found], np.int64) - 1
     share, chance = label_model(patterns, np.array([r["count"] for r in found], float))
-    # The ids of the sample are bounded by sample_docs, so they may be sent to all.
-    keys = src.select(F.xxhash64("doc_id").alias("key")).distinct().orderBy("key").limit(sample_docs)
-    keys = docs.sparkSession.createDataFrame(keys.collect(), "key long")
-    some = src.join(F.broadcast(keys), F.xxhash64("doc_id") == F.col("key"), "left_semi")
-    rows = some.mapInPandas(_feature_rows, "votes binary, slots array<int>, shares array<float>").limit(2 * sample_docs).collect()
+    # What the driver takes of the sample is bounded by sample_docs and sample_chars.
+    key, size = F.xxhash64("doc_id", "text").alias("key"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size")
+    first = src.select(key, size).distinct().orderBy("key", "size").limit(sample_docs).collect()
+    held, keys = 0, []
+    for r in first:
+        if held + r["size"] <= sample_chars:
+            held += r["size"]
+            keys.append((r["key"],))
+    keys = docs.sparkSession.createDataFrame(keys or [(min(first, key=lambda r: r["size"])["key"],)], "key long")
+    some = src.withColumn("key", key).join(F.broadcast(keys), "key", "left_semi").repartition(common.partitions(docs.sparkSession), "key")
+    rows = some.mapInPandas(_feature_rows, "key long, votes binary, slots binary, shares binary").dropDuplicates(["key"]).orderBy("key").collect()
+    slots, shares = [np.frombuffer(bytes(r.slots), np.int32) for r in rows], [np.frombuffer(bytes(r.shares), np.float32) for r in rows]
     y = posterior(np.array([list(r.votes) for r in rows], np.int64) - 1, share, chance)
-    at = np.repeat(np.arange(len(rows)), [len(r.slots) for r in rows])
-    cols = np.concatenate([np.array(r.slots, np.int64) for r in rows])
-    vals = np.concatenate([np.array(r.shares) for r in rows])
-    weights, bias = fit_logistic(at, cols, vals, y, DIM, l2=1e-4, steps=150) if 0 < y.mean() < 1 else (np.zeros(DIM), 10.0 if y.mean() > 0.5 else -10.0)
+    weights, bias = np.zeros(DIM), 10.0 if y.mean() > 0.5 else -10.0
+    if 0 < y.mean() < 1:
+        used, cols = np.unique(np.concatenate(slots), return_inverse=True)
+        weights[used], bias = fit_logistic(np.repeat(np.arange(len(rows)), [len(x) for x in slots]), cols, np.concatenate(shares).astype(float), y, len(used), l2=1e-4, steps=150)
     right = {LABELLERS[k][0]: float(share * (1 - chance[1, k]) + (1 - share) * chance[0, k]) for k in range(len(LABELLERS))}
     return {"weights": weights, "bias": bias, "share": share, "accuracies": right}
 
@@ -175,19 +201,27 @@ class Scorer:
 
     def score(self, text: str) -> float:
         if len(self.known) > KEPT:
-            self.known.clear()
-        parts, known = text.split(), self.known
-        for w in set(parts).difference(known):
+            self.known = dict(islice(self.known.items(), int(BACK * KEPT)))
+        m, counts, n = measured(text)
+        known = self.known
+        for w in set(counts).difference(known):
             a, b = _slots(w)
             known[w] = float(self.weights[a] + self.weights[b])
-        z = self.bias + float(self.weights[_measure_slots(measure(text))].sum())
-        if parts:
-            z += sum(map(known.__getitem__, parts)) / len(parts)
-        return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
+        z = self.bias + float(self.weights[_measure_slots(m)].sum())
+        if n:
+            z += math.fsum(map(mul, map(known.__getitem__, counts), counts.values())) / n
+        return float(1 / (1 + math.exp(-min(35.0, max(-35.0, z)))))
 
 
 _made: dict = {}
-common.forget["quality"] = _made.clear
+
+
+def _forget() -> None:
+    _made.clear()
+    _slots.cache_clear()
+
+
+common.forget["quality"] = _forget
 
 
 def scorer_udf(spark: SparkSession, model: dict):
