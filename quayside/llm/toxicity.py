@@ -6,14 +6,15 @@
    Viterbi path under channel costs and the character model restores the word. Neither a token's length nor its share
    of letters matters; a token with no letter is a number or a rule and gives no word. What punctuation joins is read
    part by part and as one.
-3. A lexicon from a bounded sample of labelled rows (SAMPLE_ROWS, the first by a hash of doc_id): words of the restored
-   texts, and beginnings of words, of which toxic texts hold nearly all, more than chance over that many words would
-   give. Near copies (the same least 3-word hash) count once. A word's weight is its smoothed share of toxic texts; a
-   text's score joins the weights of its restored words by noisy-or.
+3. A lexicon from a bounded sample of labelled rows (SAMPLE_ROWS, the first by a hash of doc_id): all words of the
+   restored texts, and beginnings of words, of which toxic texts hold nearly all, more than chance over that many words
+   would give. Near copies (the same least 3-word hash) count once. A word's weight is its smoothed share of toxic texts;
+   a text's score joins the weights of its restored words by noisy-or.
 
 Null counts as empty; a text with nothing of the lexicon scores the share of toxic texts among such. Repeated rows score
 alike. Labels that are null or whose doc_id is null teach nothing; of contradicting labels of one document the toxic one
-counts. With no labels, or labels of one side, the score is the (smoothed) share of toxic labels.
+counts. With no labels, or labels of one side, the score is the (smoothed) share of toxic labels. An empty table gives no
+rows; other columns play no part. Texts and tokens of any length are read whole, in time linear in their length.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common
 from .language import held_out
 
-SAMPLE_ROWS, LEXICON, THRESHOLD = 24_000, 4096, 0.7
+SAMPLE_ROWS, THRESHOLD = 24_000, 0.7
 #: A word enters the lexicon if so many toxic texts hold it, and this share of the texts that hold it is toxic.
 LEAST_TEXTS, LEAST_SHARE, CHANCE = 4, 0.9, 4.0
 #: Lengths of the beginnings of words that are features too.
@@ -236,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     # At most sample_rows ids, so they may be sent to all.
     some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text")
     some = common.cut(some.mapInPandas(read, "doc_id long, toxic int, mark long, words array<string>"))
-    one = some.groupBy("mark", "toxic").agg(F.min("doc_id").alias("doc_id")).join(some.drop("mark", "toxic"), "doc_id").select("toxic", "words")
+    one = some.groupBy("mark", "toxic").agg(F.min("doc_id").alias("doc_id")).join(some.drop("mark", "toxic"), "doc_id").select("doc_id", "toxic", "words")
     n, t = one.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < t < n:
         return {"chars": model, "lexicon": {}, "base": (t + 0.5) / (n + 1)}
@@ -247,10 +248,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     c, share = F.col("b") - F.col("a"), F.col("a") / F.col("b")
     gain = F.col("a") * F.log(share / base) + F.when(c > 0, c * F.log((1 - share) / (1 - base))).otherwise(0.0)
     least = math.log(max(2, each.count())) + CHANCE
-    found = each.where((F.col("a") >= LEAST_TEXTS) & (share >= LEAST_SHARE)).withColumn("gain", gain).where(F.col("gain") >= least).orderBy(F.desc("gain"), "word").limit(LEXICON).collect()
-    lexicon = {r.word: (r.a + base) / (r.b + 1) for r in found}
-    rest = one.where(~F.arrays_overlap("words", F.array(*map(F.lit, lexicon)) if lexicon else F.array().cast("array<string>")))
-    n, t = rest.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    found = each.where((F.col("a") >= LEAST_TEXTS) & (share >= LEAST_SHARE)).withColumn("gain", gain).where(F.col("gain") >= least).collect()
+    lexicon = {r.word: (r.a + base) / (r.b + 1) for r in sorted(found, key=lambda r: r.word)}
+    # The lexicon holds words of the sample only, so its size is bounded with it.
+    sent = spark.createDataFrame([(w,) for w in lexicon], "word string")
+    held = one.select("doc_id", F.explode("words").alias("word")).join(F.broadcast(sent), "word", "left_semi").select("doc_id").distinct()
+    n, t = one.join(held, "doc_id", "left_anti").agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     return {"chars": model, "lexicon": lexicon, "base": (t + 0.5) / (n + 1)}
 
 
