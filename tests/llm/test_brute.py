@@ -167,7 +167,9 @@ def test_chat_escapes_and_merges(spark):
     back = chat.read_back(out).first()
     assert [(t.role, t.text) for t in back.turns] == [(r, t) for *_, r, t in rows]
     assert back.loss_text == "".join(t for *_, r, t in rows if r == "assistant")
-    assert back.formatted.count("<s>") == 5 and back.formatted.count("<turn>") == 2
+    formatted = out.first().formatted
+    assert formatted.count("<s>") == 5 and formatted.count("<turn>") == 2 and back.formatted_chars == len(formatted)
+    assert [formatted[x.start : x.start + x.length] for x in out.first().loss] == ["<\\\\\\/turn>", "[\\INST]", "<\\/s><\\/s>"]
 
 
 def test_language_and_toxicity_held_out(spark):
