@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+#: Tables of cut() that weren't released, by id, and where they lie.
+_written: dict[int, tuple[DataFrame, str]] = {}
 
 #: How to empty what a module remembers in a worker process, by module.
 forget: dict[str, Callable[[], None]] = {}
@@ -38,9 +40,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir; a temporary folder only where that is unset (tests)."""
+    """A new folder name under spark.checkpoint.dir. Where that is unset: a temporary folder in local mode, else an error, as executors wouldn't share it."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if "dir" not in _own:
             _own["dir"] = tempfile.mkdtemp(prefix="quayside-")
             atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
@@ -52,7 +57,25 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df in the shared folder and read it back: later steps don't depend on executors that computed it."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[id(out)] = (out, path)
+    return out
+
+
+def release(*dfs: DataFrame) -> None:
+    """Remove what cut() wrote for dfs, once nothing will read it again; the folder's owner clears the rest."""
+    for df in dfs:
+        _, path = _written.pop(id(df), (None, None))
+        if path:
+            spark = df.sparkSession
+            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(jpath, True)
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """About how many bytes of files df reads, as the planner knows it; 0 if it doesn't."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
 
 
 def long_ids(df: DataFrame) -> DataFrame:

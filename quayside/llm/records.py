@@ -6,9 +6,14 @@ rotate-right by 15 plus 0xA282EAD8, so that a stored checksum isn't taken for da
 doc_id), doc_id (int64), bytes for each id (uint8: 2 or 4), then the ids. Beside shard-00000.rec, shard-00000.idx holds
 a row of (offset uint64, ids uint64) for each record, so that a reader can visit records in any order.
 
-Documents lie in ascending doc_id order, shard by shard (null first; rows with the same doc_id by text). Shards are cut
-at approximate quantiles of doc_id, so their number, not their size, grows with the table. A task writes to a name of
-its own and renames, so a repeated task replaces its file with the same one.
+Documents lie in ascending doc_id order, shard by shard (null first; rows with the same doc_id by a hash of the text, then
+the text). Shards are cut at approximate quantiles of doc_id, and a doc_id that holds several of them is cut by that hash,
+so the number of shards, not their size, grows with the table: there are at least as many as shuffle partitions, and one for
+SHARD_BYTES of the table's files. Each shard is a task of its own. A task writes to a name of its own and renames, so a
+repeated task replaces its file with the same one.
+
+Null and empty texts have the end id alone. Repeated rows are written as often as they occur. An empty table gives no files
+and no rows; other columns play no part. A text of any length is one record, encoded whole.
 """
 
 from __future__ import annotations
@@ -16,15 +21,17 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, tokens
 
 MASK = 0xA282EAD8
+SHARD_BYTES = 64 << 20
 HEAD = struct.Struct("<QI")
 META = struct.Struct("<BqB")
 
@@ -110,18 +117,35 @@ def _writer(folder: str, path: str, end_id: int):
     return run
 
 
+def shard_of(src: DataFrame, shards: int) -> Column:
+    """The number of a row's shard, ascending with doc_id (null first) and, within a doc_id, with the text's hash."""
+    cuts, nulls, n = src.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [0.5], 100 * shards), F.count_if(F.col("doc_id").isNull()), F.count("*")).first()
+    cuts = sorted(cuts or []) if shards > 1 else []
+    # Of rows with one doc_id those in the k-th of equal stretches of hashes go to its k-th shard. A hash is about uniform over 2 ** 64 values.
+    part = lambda of: F.least(F.floor((F.xxhash64("text") / 2.0**64 + 0.5) * of), of - 1)
+    none = max(1, -(-nulls * shards // max(1, n)))
+    shard = F.lit(none)
+    if cuts:
+        # A shard holds the doc_ids up to and with its quantile. One that is the quantile of several shards has them for itself.
+        many = {c: k for c, k in Counter(cuts).items() if k > 1}
+        own = F.lit(0)
+        if many:
+            of = F.create_map(*[x for c, k in many.items() for x in (F.lit(c).cast("long"), F.lit(k))])[F.col("doc_id")]
+            own = F.when(of.isNotNull(), part(of)).otherwise(0)
+        shard = none + F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col("doc_id"))) + own
+    return F.when(F.col("doc_id").isNull(), part(F.lit(none))).otherwise(shard).cast("int")
+
+
 def write(docs: DataFrame, folder: str, path: str, end_id: int = 0, shards: int | None = None) -> DataFrame:
     """Write the shards; a row for each: shard, n_docs, n_ids."""
     spark = docs.sparkSession
-    shards = shards or common.partitions(spark)
+    shards = shards or max(common.partitions(spark), -(-common.plan_bytes(docs) // SHARD_BYTES))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # A shard holds the doc_ids up to and with its quantile, so rows with the same doc_id stay together.
-    cuts = sorted(set(src.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 100 * shards)).first()[0] or [])) if shards > 1 else []
-    shard = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
-    src = src.withColumn("shard", F.when(F.col("doc_id").isNull(), 0).otherwise(shard).cast("int"))
+    src = src.withColumn("shard", shard_of(src, shards))
     files, base = _filesystem(folder)
     files.create_dir(base, recursive=True)
-    dealt = src.repartition(shards, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    # Nulls have shards of their own before the others.
+    dealt = src.repartitionById(2 * shards + 1, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), F.xxhash64("text"), F.asc_nulls_first("text"))
     dealt = dealt.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "shard")
     return common.cut(dealt.mapInPandas(_writer(folder, path, end_id), "shard int, n_docs long, n_ids long"))
 
