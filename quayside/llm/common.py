@@ -14,6 +14,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 _own: dict[str, str] = {}
 #: Tables of cut() that weren't released, by id, and where they lie.
@@ -94,20 +95,49 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A key with more than one in HOT rows of a table is joined in parts.
+HOT = 256
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined (inner, left or left_semi) with right, which has one row for each key, by a key that may hold a large share of left.
+
+    The rows of a hot key are dealt to parts, to each of which right's row goes. There are at most HOT such keys, and their
+    list is all that is sent to every task. Null keys, which match nothing, stay where they are. left is read twice.
+    """
+    spark, n = left.sparkSession, left.count()
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows"))
+    hot = [(r[0], -(-r[1] * 4 * HOT // n)) for r in counts.orderBy(F.desc("_rows"), key).limit(HOT).collect() if r[1] * HOT > n and r[1] >= HOT]
+    found = left.where(F.col(key).isNotNull())
+    if hot:
+        parts = F.broadcast(spark.createDataFrame(hot, StructType([left.schema[key], StructField("_parts", IntegerType())])))
+        of = F.coalesce("_parts", F.lit(1))
+        found = found.join(parts, key, "left").withColumn("_part", F.pmod(F.xxhash64(*left.columns), of).cast("int")).drop("_parts")
+        right = right.join(parts, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), of - 1))).drop("_parts")
+    found = found.join(right, [key, "_part"] if hot else key, how).drop("_part")
+    if how == "left":
+        more = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name not in (key, "_part")]
+        found = found.unionByName(left.where(F.col(key).isNull()).select("*", *more))
+    return found
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of (u long, v long): node, label (the component's smallest node).
+    """Connected components of (u, v), numbers or bytes: node, label (the component's smallest node).
 
-    Min-label propagation with pointer jumping; each round is written to the shared folder, and only the number of
-    changed labels reaches the driver. Self loops are harmless; no edges give no rows.
+    Min-label propagation with pointer jumping; each round is written to the shared folder, where the last one's goes, and
+    only whether a label changed reaches the driver. Self loops are harmless; no edges give no rows.
     """
     e = edges.where("u is not null and v is not null and u <> v").select("u", "v")
     e = cut(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = cut(e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")))
+    held = cut(e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
+        labels = held.select("node", "label")
         near = e.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("m"))
         low = labels.withColumnRenamed("label", "old").join(near, "node").select("node", "old", F.least("old", "m").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
         new = cut(low.join(up, "label").select("node", "old", F.least("label", "top").alias("label")))
+        release(held)
         if not new.where("label <> old").limit(1).count():
-            return labels
-        labels = new.select("node", "label")
+            release(e)
+            return new.select("node", "label")
+        held = new

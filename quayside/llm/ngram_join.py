@@ -1,30 +1,37 @@
 """N-gram Jaccard join by prefix trees.
 
 1. Every text becomes the set of its distinct word n-grams (hashes). Texts with equal sets form one class.
-2. An inverted index, dealt out by ranges of the hash, finds the n-grams that more than one class holds. Mappers count
-   first: an n-gram comes to the index once from each flush of up to FLUSH_GRAMS, however many classes hold it there,
-   and which of them do waits with the flush. An n-gram held once can link nothing, so only the shared ones travel on. The global order of n-grams is ascending document
-   frequency, then hash; n-grams held once come first.
+2. An inverted index, dealt out by ranges of the hash (as many as the n-grams need), finds the n-grams that more than one
+   class holds. Mappers count first: an n-gram comes to the index once from each flush of up to FLUSH_GRAMS, however many
+   classes hold it there, and which of them do waits with the flush. An n-gram held once can link nothing, so only the
+   shared ones travel on. The global order of n-grams is ascending document frequency, then hash; n-grams held once come
+   first.
 3. By the prefix bound a class can only link if one of its first n - ceil(t n) + 1 n-grams is shared. Classes whose
-   prefix holds only n-grams of their own leave here; the others are grouped by shared prefix n-grams into blocks.
-4. Each block (or pair of chunks of a large block) is stored as a radix trie of its ordered sets. Each set walks the
-   trie once, paths share their partial overlap, and a subtree is left when its sizes or the n-grams that remain
-   cannot reach the threshold, or when all of it is already known to be connected with the probing set.
+   prefix holds only n-grams of their own leave here. The others are compared with one class of each shared prefix n-gram,
+   ROUNDS times with another one: what is nearly equal is mostly connected by that. An n-gram all of whose holders are
+   connected has done its work; the others group the classes into blocks.
+4. Each block is stored as a radix trie of its ordered sets. Each set walks the trie once, paths share their partial
+   overlap, and a subtree is left when its sizes or the n-grams that remain cannot reach the threshold, or when all of it
+   is already known to be connected with the probing set. A block of up to CHUNKS times BLOCK_GRAMS is joined by pairs of
+   chunks; a larger one falls into one block for each n-gram that holds it together, and such a block, if too large
+   itself, into stretches of sizes that may link.
 5. The links (a spanning forest, never all pairs) give components.
 
-Nulls and texts without words: empty sets, linked with nothing. Repeated rows fall in one class. A hash has 64 bits for
-classes and 48 bits and the bits of the bucket for n-grams.
+Nulls and texts without words: empty sets, linked with nothing. Repeated rows fall in one class. A class is known by a hash
+of 128 bits, an n-gram by one of 54 to 64. An empty table gives no rows; other columns play no part. Texts of any length
+are read whole; one set must fit in a task.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -33,8 +40,10 @@ from . import common
 STEPS = [np.uint64(2 * i * 0x9E3779B97F4A7C15 + 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF | 1) for i in range(1, 33)]
 #: n-grams and documents that a mapper gathers before it writes, distinct words whose hash it keeps.
 FLUSH_GRAMS, FLUSH_DOCS, WORDS = 2_000_000, 65_000, 400_000
-#: Shared n-grams that one task joins.
-BLOCK_GRAMS = 1_000_000
+#: n-grams for which there is a bucket of the index (about 70 bytes each in a task).
+BUCKET_GRAMS = 2_000_000
+#: Shared n-grams that one task joins, chunks of which a block is joined by pairs, comparisons with single classes.
+BLOCK_GRAMS, CHUNKS, ROUNDS = 1_000_000, 8, 2
 
 
 class _Words(dict):
@@ -62,8 +71,8 @@ def gram_set(text: bytes | None, n: int) -> np.ndarray:
     return np.unique(common.mix64(out))
 
 
-def _class_of(grams: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
+def _class_of(grams: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(grams.tobytes())
 
 
 def _sets(n: int):
@@ -71,7 +80,7 @@ def _sets(n: int):
         common.hold("ngram_join")
         for pdf in batches:
             sets = [gram_set(x, n) for x in pdf["text"]]
-            yield pd.DataFrame({**pdf.drop(columns="text"), "n_shingles": [len(s) for s in sets], "cls": pd.array([_class_of(s) if len(s) else None for s in sets], "Int64")})
+            yield pd.DataFrame({**pdf.drop(columns="text"), "n_shingles": [len(s) for s in sets], "cls": [_class_of(s) if len(s) else None for s in sets]})
 
     return run
 
@@ -105,26 +114,26 @@ def _postings(n: int, bits: int):
         common.hold("ngram_join")
         part, seq = TaskContext.get().partitionId(), 0
         sets: list[np.ndarray] = []
-        classes: dict[int, int] = {}
+        classes: dict[bytes, int] = {}
         held = 0
 
         def flush():
             flush_id = (part << 24) | seq
-            g = np.concatenate(sets) >> np.uint64(16 - bits)
+            g = np.concatenate(sets)
+            if bits < 16:
+                g = g >> np.uint64(16 - bits)
             doc = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
             order = np.argsort(g, kind="stable")
             g, doc = g[order], doc[order]
             first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
             g, counts = g[first], np.diff(np.append(first, len(g)))
-            ends = np.searchsorted(g, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(48)).tolist() + [len(g)]
+            place = (g >> np.uint64(64 - max(16, bits))).astype(np.int64) if bits > 16 else (g >> np.uint64(48)).astype(np.int64)
+            start = np.flatnonzero(np.diff(place, prepend=-1))
+            buckets, ends = place[start], np.append(start[1:], len(g))
             low = g & np.uint64((1 << 48) - 1)
-            rows, a = [], 0
-            for bucket, b in enumerate(ends):
-                if b > a:
-                    rows.append((bucket, flush_id, np.uint32(b - a).tobytes() + _pack_grams(low[a:b]) + _pack_counts(counts[a:b])))
-                a = b
-            head = np.array([len(sets), len(doc)], np.int64).tobytes() + np.array(list(classes), np.int64).tobytes() + np.array([len(s) for s in sets], np.int64).tobytes()
-            rows.append(((1 << bits) + flush_id, flush_id, head + np.array(ends, np.int64).tobytes() + doc.tobytes() + _pack_counts(counts)))
+            rows = [(b, flush_id, np.uint32(z - a).tobytes() + _pack_grams(low[a:z]) + _pack_counts(counts[a:z])) for b, a, z in zip(buckets.tolist(), start.tolist(), ends.tolist(), strict=True)]
+            head = np.array([len(sets), len(doc), len(buckets)], np.int64).tobytes() + b"".join(classes) + np.array([len(s) for s in sets], np.int64).tobytes()
+            rows.append(((1 << bits) + flush_id, flush_id, head + buckets.tobytes() + ends.astype(np.int64).tobytes() + doc.tobytes() + _pack_counts(counts)))
             return pd.DataFrame(rows, columns=["bucket", "flush", "data"])
 
         for pdf in batches:
@@ -181,22 +190,22 @@ def _active(bits: int, num: int, den: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         head = pdf.loc[pdf["bucket"] < 0, "data"].iloc[0]
-        k, held = np.frombuffer(head, np.int64, 2).tolist()
-        cls, size = np.frombuffer(head, np.int64, k, 16), np.frombuffer(head, np.int64, k, 16 + 8 * k)
-        at = 16 + 16 * k
-        ends = np.frombuffer(head, np.int64, 1 << bits, at).tolist()
-        at += 8 << bits
+        k, held, m = np.frombuffer(head, np.int64, 3).tolist()
+        cls, at = [head[24 + 16 * i : 40 + 16 * i] for i in range(k)], 24 + 16 * k
+        size, at = np.frombuffer(head, np.int64, k, at), at + 8 * k
+        buckets, ends, at = np.frombuffer(head, np.int64, m, at), np.frombuffer(head, np.int64, m, at + 8 * m), at + 16 * m
         d = np.frombuffer(head, np.uint16, held, at)
-        total = ends[-1]
+        total = int(ends[-1])
         holders = _unpack_counts(head, total, at + 2 * held)
         kept, gram, df = np.zeros(total, bool), np.zeros(total, np.uint64), np.zeros(total, np.uint16)
         for bucket, x in zip(pdf["bucket"].tolist(), pdf["data"], strict=True):
             if bucket >= 0:
-                a, b = ends[bucket - 1] if bucket else 0, ends[bucket]
+                i = int(np.searchsorted(buckets, bucket))
+                a, b = int(ends[i - 1]) if i else 0, int(ends[i])
                 w = (b - a + 7) // 8
                 at = a + np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8, w), count=b - a))
                 kept[at] = True
-                gram[at] = _unpack_grams(x, len(at), w) | np.uint64(bucket) << np.uint64(48)
+                gram[at] = _unpack_grams(x, len(at), w) | np.uint64(bucket >> max(0, bits - 16)) << np.uint64(48)
                 df[at] = np.frombuffer(x, np.uint16, len(at), w + 6 * len(at))
         d, g, f = d[np.repeat(kept, holders)], np.repeat(gram[kept], holders[kept]), np.repeat(df[kept], holders[kept])
         count = np.bincount(d, minlength=k)
@@ -208,7 +217,7 @@ def _active(bits: int, num: int, den: int):
         g, d = g[order], d[order]
         ends = np.searchsorted(d, np.arange(k + 1))
         at = np.flatnonzero(keep)
-        return pd.DataFrame({"cls": cls[at], "n": size[at], "prefix": prefix[at], "grams": pd.Series([g[ends[i] : ends[i + 1]].astype(np.int64) for i in at], dtype="object")})
+        return pd.DataFrame({"cls": [cls[i] for i in at], "n": size[at], "prefix": prefix[at], "grams": pd.Series([g[ends[i] : ends[i + 1]].astype(np.int64) for i in at], dtype="object")})
 
     return run
 
@@ -251,8 +260,8 @@ def _trie(sets: list[list[int]], sizes: list[int]) -> _Node:
     return root
 
 
-def link_block(cls: list[int], sizes: list[int], grams: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """(class, smallest class connected with it) for the classes of one block that link with another; 100 * i >= 90 * u has num 90, den 100."""
+def link_block(cls: list, sizes: list[int], grams: list[np.ndarray], num: int, den: int, known: list | None = None) -> list[tuple]:
+    """(class, smallest class connected with it) for the classes of one block that are connected with another; 100 * i >= 90 * u has num 90, den 100. known: for each class a label that is the same for classes known to be connected."""
     flat = np.concatenate(grams)
     u, inv, count = np.unique(flat, return_inverse=True, return_counts=True)
     rank = np.empty(len(u), np.int64)
@@ -265,6 +274,9 @@ def link_block(cls: list[int], sizes: list[int], grams: list[np.ndarray], num: i
     order = sorted(range(len(sets)), key=sets.__getitem__)
     sets, sizes, cls = [sets[i] for i in order], [sizes[i] for i in order], [cls[i] for i in order]
     parent = list(range(len(sets)))
+    if known:
+        first: dict = {}
+        parent = [first.setdefault(known[i], k) for k, i in enumerate(order)]
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -296,7 +308,7 @@ def link_block(cls: list[int], sizes: list[int], grams: list[np.ndarray], num: i
             elif node.lo != i and overlap * (num + den) >= num * (nx + sizes[node.lo]):
                 a, b = find(i), find(node.lo)
                 parent[max(a, b)] = min(a, b)
-    least: dict[int, int] = {}
+    least: dict = {}
     members: dict[int, int] = {}
     for i in range(len(sets)):
         r = find(i)
@@ -308,60 +320,132 @@ def link_block(cls: list[int], sizes: list[int], grams: list[np.ndarray], num: i
 def _join(num: int, den: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, g in pdf.groupby(["block", "i", "j"], sort=False):
-            out += link_block(g["cls"].tolist(), g["n"].tolist(), [np.asarray(x, np.int64) for x in g["grams"]], num, den)
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+        for _, g in pdf.groupby(["unit", "i", "j"], sort=False):
+            out += link_block(g["cls"].tolist(), g["n"].tolist(), [np.asarray(x, np.int64) for x in g["grams"]], num, den, g["label"].tolist())
+        return pd.DataFrame(out, columns=["u", "v"])
 
     return run
 
 
-def _linked(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", block_grams: int = BLOCK_GRAMS, keyed: bool = False) -> DataFrame:
-    """For each row doc_id, n_shingles, cls and comp (null without words), the component's number; if keyed, key too, the text's hash."""
-    spark: SparkSession = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), *([F.xxhash64(text_col).alias("key")] if keyed else []), F.col(text_col).cast("binary").alias("text"))
-    sets = common.cut(common.long_ids(src.mapInPandas(_sets(n), f"doc_id string,{' key long,' if keyed else ''} n_shingles long, cls long")))
-    parts = common.partitions(spark)
-    bits = min(16, max(6, (parts - 1).bit_length()))
+def _bits(n: int, parts: int) -> int:
+    """How many bits of the hash deal out an index of n n-grams."""
+    return min(26, max(6, (parts - 1).bit_length(), (max(1, n // BUCKET_GRAMS) - 1).bit_length()))
+
+
+def _active_rows(src: DataFrame, n: int, num: int, den: int, bits: int) -> DataFrame:
+    """cls, n, prefix, grams: the classes that can link, once each."""
     posts = src.select("text").mapInPandas(_postings(n, bits), "bucket long, flush long, data binary")
     shared = posts.groupBy("bucket").applyInPandas(_shared(bits), "flush long, bucket long, data binary")
-    active = common.cut(shared.groupBy("flush").applyInPandas(_active(bits, num, den), "cls long, n long, prefix long, grams array<long>"))
-
-    pre = active.select("cls", F.explode(F.slice("grams", F.lit(1), F.col("prefix").cast("int"))).alias("gram")).distinct()
-    pre = common.cut(pre)
-    hub = pre.groupBy("gram").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where("hub < last").select("gram", "hub")
-    near = pre.join(hub, "gram").where("cls <> hub").select(F.col("cls").alias("u"), F.col("hub").alias("v")).distinct()
-    blocks = common.components(near).withColumnRenamed("label", "block")
+    active = shared.groupBy("flush").applyInPandas(_active(bits, num, den), "cls binary, n long, prefix long, grams array<long>")
+    # A class has the same row from each flush that holds it.
+    return common.cut(active.groupBy("cls").agg(F.any_value(F.struct("n", "prefix", "grams")).alias("x")).select("cls", "x.*"))
+
+
+def _round(held: DataFrame, rows: DataFrame, num: int, den: int, last: bool) -> DataFrame:
+    """Links (u, v) of the holders (cls, n, gram, label) of each n-gram with one of them: the first of the first label, or of the last one."""
+    one, of, by = F.struct("cls", "n"), "hi" if last else "lo", F.struct("label", "cls")
+    hub = held.groupBy("gram").agg((F.max_by(one, by) if last else F.min_by(one, by)).alias("v"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    pairs = common.join_hot(held, hub.select("gram", "v", of), "gram").where(f"label <> {of} and {den} * least(n, v.n) >= {num} * greatest(n, v.n)")
+    pairs = common.cut(pairs.select(F.col("cls").alias("u"), F.col("n").alias("n_u"), F.col("v.cls").alias("v"), F.col("v.n").alias("n_v")).distinct())
+    grams = lambda c: rows.select(F.col("cls").alias(c), F.col("grams").alias(f"grams_{c}"))
+    # Many pairs may have one v, but few one u.
+    both = common.join_hot(pairs, grams("v"), "v").join(grams("u"), "u")
+    return both.where((num + den) * F.size(F.array_intersect("grams_u", "grams_v")) >= num * (F.col("n_u") + F.col("n_v"))).select("u", "v")
+
+
+def _mixed(pre: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of pre, labelled, of the n-grams whose holders aren't all connected yet."""
+    held = pre.drop("label").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    held = common.cut(held)
+    mixed = held.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram")
+    return common.cut(common.join_hot(held, mixed, "gram", "left_semi"))
+
+
+def _blocks(mixed: DataFrame) -> DataFrame:
+    """cls, n, block: what holders of the same n-grams are connected by, one n-gram after the other."""
+    first = mixed.groupBy("gram").agg(F.min("cls").alias("v"))
+    near = common.join_hot(mixed, first, "gram").where("cls <> v").select(F.col("cls").alias("u"), "v").distinct()
+    return common.components(near).withColumnsRenamed({"node": "cls", "label": "block"})
+
+
+def _links(rows: DataFrame, num: int, den: int, block_grams: int) -> DataFrame:
+    """node, label: components of the classes in rows (of _active_rows)."""
+    mixed = common.cut(rows.select("cls", "n", F.explode(F.slice("grams", F.lit(1), F.col("prefix").cast("int"))).alias("gram"), F.col("cls").alias("label")))
+    unit = lambda kind, *cols: F.xxhash64(F.lit(kind), *cols).alias("unit")
+    links = None
+    for k in range(ROUNDS):
+        found = _round(mixed, rows, num, den, k % 2 == 1)
+        links = common.cut(found if links is None else links.unionByName(found))
+        labels = common.components(links)
+        mixed = _mixed(mixed, labels)
+        if not mixed.limit(1).count():
+            return labels
+        held = common.cut(_blocks(mixed).join(rows.select("cls", "n", F.size("grams").alias("k")), "cls"))
+        total = held.groupBy("block").agg(F.sum("k").alias("all"))
+        large = common.cut(total.where(F.col("all") > CHUNKS * block_grams).select("block"))
+        # Another round only pays for blocks that would be cut up.
+        if not (cut_up := large.limit(1).count()):
+            break
+    # unit, cls, n, k: which classes are joined with each other.
+    if cut_up:
+        units = common.join_hot(held, total.where(F.col("all") <= CHUNKS * block_grams).select("block"), "block", "left_semi").select(unit("block", "block"), "cls", "n", "k")
+        own = common.join_hot(held, large, "block", "left_semi").select("cls", "k")
+        own = common.cut(mixed.select("cls", "n", "gram").join(own, "cls"))
+        sums = own.groupBy("gram").agg(F.sum("k").alias("all"))
+        fits, over = (common.join_hot(own, sums.where(c).select("gram"), "gram", "left_semi") for c in (F.col("all") <= block_grams, F.col("all") > block_grams))
+        # Sizes that may link lie in one stretch or in neighbours: each stretch is joined with the one above it.
+        stretch = F.floor(F.log("n") / F.lit(math.log(den / num) + 1e-9) if num < den else F.col("n")).cast("long")
+        over = over.withColumn("s", F.explode(F.array(stretch, stretch - 1)))
+        units = units.unionByName(fits.select(unit("gram", "gram"), "cls", "n", "k")).unionByName(over.select(unit("sizes", "gram", "s"), "cls", "n", "k"))
+        units = common.cut(units)
+    else:
+        units = held.select(unit("block", "block"), "cls", "n", "k")
+    sums = units.groupBy("unit").agg(F.sum("k").alias("all"), F.count("*").alias("m"))
+    sums = sums.where("m > 1").select("unit", F.ceil(F.col("all") / block_grams).cast("int").alias("chunks"))
+    rest = common.join_hot(units, sums, "unit").withColumn("c", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
+    # Pairs of chunks cover what lies inside of a chunk too; a small unit is the pair (0, 0).
+    others = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("chunks") - 1), F.col("c")))
+    rest = rest.withColumn("o", F.explode(others)).select("unit", "cls", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "chunks", "k")
+    rest = common.cut(rest)
+    weight = rest.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+    bins = max(common.partitions(rows.sparkSession), 16, 2 * weight // block_grams)
+    rest = rest.withColumn("bin", F.when(F.col("chunks") == 1, F.pmod("unit", F.lit(bins))).otherwise(F.lit(bins) + F.pmod(F.xxhash64("unit", "i", "j"), F.lit(1 << 40)))).drop("chunks", "k")
+    whole = rows.select("cls", "n", "grams").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    more = rest.join(whole, "cls").groupBy("bin").applyInPandas(_join(num, den), "u binary, v binary")
+    return common.components(links.unionByName(more))
+
+
+def _linked(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", block_grams: int = BLOCK_GRAMS, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """For each row doc_id, n_shingles and cls (null without words); if keyed, key too, the text's hash. And the components (node, label) of the classes that link."""
+    src = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), *([F.xxhash64(text_col).alias("key")] if keyed else []), F.col(text_col).cast("binary").alias("text"))
+    sets = common.cut(common.long_ids(src.mapInPandas(_sets(n), f"doc_id string,{' key long,' if keyed else ''} n_shingles long, cls binary")))
+    grams = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    return sets, _links(_active_rows(src, n, num, den, _bits(grams, common.partitions(docs.sparkSession))), num, den, block_grams)
 
-    one = active.groupBy("cls").agg(F.min_by(F.struct("n", "grams"), "prefix").alias("x")).select("cls", "x.n", "x.grams")
-    rows = common.cut(one.join(blocks.withColumnRenamed("node", "cls"), "cls"))
-    sized = rows.groupBy("block").agg(F.sum(F.size("grams")).alias("all_grams")).withColumn("chunks", F.ceil(F.col("all_grams") / block_grams).cast("int"))
-    rows = rows.join(sized, "block").withColumn("c", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
-    # Pairs of chunks cover what lies inside of a chunk too; a small block is the pair (0, 0).
-    pairs = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("chunks") - 1), F.col("c")))
-    rows = rows.withColumn("o", F.explode(pairs)).select("block", "cls", "n", "grams", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "chunks")
-    bins = max(parts, 16)
-    rows = rows.withColumn("bin", F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("block"), F.lit(bins))).otherwise(F.lit(bins) + F.pmod(F.xxhash64("block", "i", "j"), F.lit(1 << 40))))
-    links = rows.drop("chunks").groupBy("bin").applyInPandas(_join(num, den), "u long, v long")
-    labels = common.components(links)
 
-    return sets.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("label", "cls"))
+def _least(sets: DataFrame, labels: DataFrame, row: Column) -> DataFrame:
+    """cls, least: the least row value of each class's component. Rows of one class, and classes of one component, are reduced before they are dealt out."""
+    own = common.cut(sets.where("cls is not null").groupBy("cls").agg(F.min(row).alias("own")))
+    own = own.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+    least = own.where("label is not null").groupBy("label").agg(F.min("own").alias("least"))
+    return common.join_hot(own, least, "label", "left").select("cls", F.coalesce("least", "own").alias("least"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links of Jaccard similarity num/den or more)."""
-    named = _linked(docs, n, num, den, id_col, text_col, block_grams)
-    least = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    sets, labels = _linked(docs, n, num, den, id_col, text_col, block_grams)
+    named = common.join_hot(sets, _least(sets, labels, F.col("doc_id")), "cls", "left")
+    return named.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one row of each group: of the smallest doc_id (rows with none come last), then the least hash of the text, then the least row. Rows without words all stay."""
-    named = _linked(docs, n, num, den, keyed=True).where("comp is not null")
+    sets, labels = _linked(docs, n, num, den, keyed=True)
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    first = named.groupBy("comp").agg(F.min(row).alias("first"))
-    pairs = named.groupBy("comp", "doc_id", "key").agg(F.count("*").alias("rows")).join(first, "comp")
+    pairs = common.cut(sets.where("cls is not null").groupBy("cls", "doc_id", "key").agg(F.count("*").alias("rows")))
+    pairs = common.join_hot(pairs, _least(sets, labels, row), "cls")
     # Rows that go, and those of which one stays; the rest isn't listed.
-    marks = common.cut(pairs.select(F.col("doc_id").alias("mark_id"), F.col("key").alias("mark_key"), row.eqNullSafe(F.col("first")).alias("mark_first"), "rows").where("not mark_first or rows > 1").drop("rows"))
+    marks = common.cut(pairs.select(F.col("doc_id").alias("mark_id"), F.col("key").alias("mark_key"), row.eqNullSafe(F.col("least")).alias("mark_first"), "rows").where("not mark_first or rows > 1").drop("rows"))
     key = F.xxhash64(docs["text"])
     same = (key == F.col("mark_key")) & docs["doc_id"].cast("long").eqNullSafe(F.col("mark_id"))
     kept = docs.join(marks, same, "left_anti")
