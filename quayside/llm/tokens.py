@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from itertools import islice, pairwise
+from itertools import filterfalse, islice, pairwise
 
 import numpy as np
 
@@ -21,7 +21,18 @@ RARE = [chr(c) for c in (9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200
 #: Where a chunk may be cut besides its first space: a line break between characters that aren't white space, and a full
 #: stop or comma at its end behind an ASCII letter or digit.
 _line = re.compile(r"(?<=\S)\n(?=\S)")
-_ended = re.compile(r"[A-Za-z0-9][.,]\Z")
+_STOPS, _PLAIN = frozenset(".,"), frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+
+
+class _Known(dict):
+    """Ids by chunk; what is looked up in vain is listed in order, and None in its place."""
+
+    def __init__(self, *rows):
+        super().__init__(*rows)
+        self.missing: list = []
+
+    def __missing__(self, chunk):
+        self.missing.append(chunk)
 
 
 class Encoder:
@@ -49,7 +60,7 @@ class Encoder:
         self.marked[[i for t, i in self.tokenizer.get_vocab().items() if (t.endswith(suffix) if suffix else t.startswith("Ġ"))]] = True
         #: By chunk, and by chunk without the space that it starts with.
         self.first: dict = {}
-        self.later: dict = {}
+        self.later = _Known()
 
     def _library(self, chunks: list[str], into: dict, space: str) -> None:
         for i in range(0, len(chunks), TOGETHER):
@@ -75,20 +86,20 @@ class Encoder:
 
     def _learn(self, chunks: set[str], into: dict, space: str) -> None:
         """Put the ids of chunks into a dictionary; space: what stands before each of them."""
-        letters, ended, whole, lines = [], [], [], []
-        for c in chunks:
-            if space and c.isalpha():
-                letters.append(c)
-            elif "\n" in c and _line.search(c):
+        letters = list(filter(str.isalpha, chunks)) if space else []
+        ended, whole, lines = [], [], []
+        for c in filterfalse(str.isalpha, chunks) if space else chunks:
+            if "\n" in c and _line.search(c):
                 lines.append((c, _line.split(c)))
-            elif _ended.search(c):
+            elif c[-1:] in _STOPS and c[-2:-1] in _PLAIN:
                 ended.append(c)
             else:
                 whole.append(c)
         self._letters(letters, into, space)
         self._library(whole, into, space)
         # What is cut off is learnt by itself; neither kind of piece is cut into lines again.
-        if heads := {c[:-1] for c in ended}.union(x[0] for _, x in lines).difference(into):
+        heads = {c[:-1] for c in ended}.union(x[0] for _, x in lines)
+        if heads := {c for c in heads if c not in into}:
             self._learn(heads, into, space)
         first = self.first
         if tails := {t for _, x in lines for t in x[1:]}.difference(first):
@@ -102,7 +113,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.later) > self.kept:
-            self.later = dict(islice(self.later.items(), int(BACK * self.kept)))
+            self.later = _Known(islice(self.later.items(), int(BACK * self.kept)))
         if len(self.first) > self.kept // 10:
             self.first = dict(islice(self.first.items(), int(BACK * self.kept / 10)))
         first, later = self.first, self.later
@@ -128,16 +139,30 @@ class Encoder:
             split.append(parts)
         if new := set(heads).difference(first):
             self._learn(new, first, "")
-        words: set = set()
-        words.update(*(x for x in split if x))
-        if new := words.difference(later):
-            self._learn(new, later, " ")
-        get, out = later.__getitem__, []
+        # Each chunk is looked up once; those that are missing are learnt together and put in their places.
+        get, missing, gaps = later.__getitem__, later.missing, []
+        missing.clear()
+        for i, x in enumerate(split):
+            if x is not None:
+                at = len(missing)
+                split[i] = list(map(get, x))
+                if len(missing) > at:
+                    gaps.append((i, at, len(missing)))
+        if missing:
+            self._learn(set(missing), later, " ")
+        for i, a, b in gaps:
+            x, at = split[i], -1
+            for c in missing[a:b]:
+                at = x.index(None, at + 1)
+                x[at] = later[c]
+        missing.clear()
+        out = []
         for text, head, x in zip(texts, heads, split, strict=True):
             if x is None:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
             else:
-                out.append(np.frombuffer(first[head] + b"".join(map(get, x)), np.uint32))
+                x[0] = first[head]
+                out.append(np.frombuffer(b"".join(x), np.uint32))
         return out
 
 
