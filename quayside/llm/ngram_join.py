@@ -30,6 +30,7 @@ from bisect import bisect_right
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ STEPS = [np.uint64(2 * i * 0x9E3779B97F4A7C15 + 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFF
 #: n-grams and documents that a mapper gathers before it writes, distinct words whose hash it keeps.
 FLUSH_GRAMS, FLUSH_DOCS, WORDS = 2_000_000, 65_000, 400_000
 #: n-grams for which there is a bucket of the index (about 70 bytes each in a task).
-BUCKET_GRAMS = 2_000_000
+BUCKET_GRAMS = 500_000
 #: Shared n-grams that one task joins, chunks of which a block is joined by pairs, comparisons with single classes.
 BLOCK_GRAMS, CHUNKS, ROUNDS = 1_000_000, 8, 2
 
@@ -99,12 +100,19 @@ def _unpack_counts(x: bytes, k: int, at: int) -> np.ndarray:
 
 
 def _pack_grams(g: np.ndarray) -> bytes:
-    """The low 48 bits of n-grams."""
-    return (g >> np.uint64(16)).astype(np.uint32).tobytes() + (g & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
+    """The low 48 bits of ascending n-grams: the steps of the upper 32 byte by byte, compressed after their size, and the lower 16."""
+    steps = np.diff((g >> np.uint64(16)).astype(np.uint32), prepend=np.uint32(0))
+    data = zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    return np.uint32(len(data)).tobytes() + data + (g & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
 
 
-def _unpack_grams(x: bytes, k: int, at: int) -> np.ndarray:
-    return np.frombuffer(x, np.uint32, k, at).astype(np.uint64) << np.uint64(16) | np.frombuffer(x, np.uint16, k, at + 4 * k)
+def _unpack_grams(x: bytes, k: int, at: int) -> tuple[np.ndarray, int]:
+    """k n-grams, and where they end."""
+    n = int(np.frombuffer(x, np.uint32, 1, at)[0])
+    steps = np.frombuffer(zstandard.decompress(x[at + 4 : at + 4 + n], 4 * k), np.uint8).reshape(4, k)
+    hi = np.cumsum(np.ascontiguousarray(steps.T).view(np.uint32).ravel(), dtype=np.uint32)
+    at += 4 + n
+    return hi.astype(np.uint64) << np.uint64(16) | np.frombuffer(x, np.uint16, k, at), at + 2 * k
 
 
 def _postings(n: int, bits: int):
@@ -164,8 +172,9 @@ def _shared(bits: int):
         grams, counts = [], []
         for x in pdf["data"]:
             k = int(np.frombuffer(x, np.uint32, 1)[0])
-            grams.append(_unpack_grams(x, k, 4))
-            counts.append(_unpack_counts(x, k, 4 + 6 * k).astype(np.uint16))
+            g, at = _unpack_grams(x, k, 4)
+            grams.append(g)
+            counts.append(_unpack_counts(x, k, at).astype(np.uint16))
         ends = np.cumsum([0, *map(len, grams)])
         g, c = np.concatenate(grams), np.concatenate(counts)
         order = np.argsort(g, kind="stable")
@@ -205,8 +214,9 @@ def _active(bits: int, num: int, den: int):
                 w = (b - a + 7) // 8
                 at = a + np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8, w), count=b - a))
                 kept[at] = True
-                gram[at] = _unpack_grams(x, len(at), w) | np.uint64(bucket >> max(0, bits - 16)) << np.uint64(48)
-                df[at] = np.frombuffer(x, np.uint16, len(at), w + 6 * len(at))
+                g, end = _unpack_grams(x, len(at), w)
+                gram[at] = g | np.uint64(bucket >> max(0, bits - 16)) << np.uint64(48)
+                df[at] = np.frombuffer(x, np.uint16, len(at), end)
         d, g, f = d[np.repeat(kept, holders)], np.repeat(gram[kept], holders[kept]), np.repeat(df[kept], holders[kept])
         count = np.bincount(d, minlength=k)
         prefix = size - (num * size + den - 1) // den + 1 - (size - count)

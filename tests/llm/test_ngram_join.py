@@ -64,7 +64,7 @@ def test_link_block_with_known_labels_is_that_of_all_pairs():
 
 
 def test_index_bits_follow_the_ngrams():
-    assert [ngram_join._bits(n, 200) for n in (0, 10**6, 10**9, 10**12, 10**15)] == [8, 8, 9, 19, 26]
+    assert [ngram_join._bits(n, 200) for n in (0, 10**6, 10**9, 10**12, 10**15)] == [8, 8, 11, 21, 26]
 
 
 @pytest.mark.parametrize("bits", [6, 12, 16, 20])
