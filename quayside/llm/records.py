@@ -117,13 +117,13 @@ def _writer(folder: str, path: str, end_id: int):
     return run
 
 
-def shard_of(src: DataFrame, shards: int) -> Column:
-    """The number of a row's shard, ascending with doc_id (null first) and, within a doc_id, with the text's hash."""
+def shard_of(src: DataFrame, shards: int) -> tuple[Column, int]:
+    """The number of a row's shard, ascending with doc_id (null first) and, within a doc_id, with the text's hash; and how many there may be."""
     cuts, nulls, n = src.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [0.5], 100 * shards), F.count_if(F.col("doc_id").isNull()), F.count("*")).first()
     cuts = sorted(cuts or []) if shards > 1 else []
     # Of rows with one doc_id those in the k-th of equal stretches of hashes go to its k-th shard. A hash is about uniform over 2 ** 64 values.
     part = lambda of: F.least(F.floor((F.xxhash64("text") / 2.0**64 + 0.5) * of), of - 1)
-    none = max(1, -(-nulls * shards // max(1, n)))
+    none = -(-nulls * shards // max(1, n))
     shard = F.lit(none)
     if cuts:
         # A shard holds the doc_ids up to and with its quantile. One that is the quantile of several shards has them for itself.
@@ -133,7 +133,7 @@ def shard_of(src: DataFrame, shards: int) -> Column:
             of = F.create_map(*[x for c, k in many.items() for x in (F.lit(c).cast("long"), F.lit(k))])[F.col("doc_id")]
             own = F.when(of.isNotNull(), part(of)).otherwise(0)
         shard = none + F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col("doc_id"))) + own
-    return F.when(F.col("doc_id").isNull(), part(F.lit(none))).otherwise(shard).cast("int")
+    return F.when(F.col("doc_id").isNull(), part(F.lit(none))).otherwise(shard).cast("int"), none + len(cuts) + 1
 
 
 def write(docs: DataFrame, folder: str, path: str, end_id: int = 0, shards: int | None = None) -> DataFrame:
@@ -141,11 +141,11 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 0, shards: int
     spark = docs.sparkSession
     shards = shards or max(common.partitions(spark), -(-common.plan_bytes(docs) // SHARD_BYTES))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    src = src.withColumn("shard", shard_of(src, shards))
+    shard, shards = shard_of(src, shards)
+    src = src.withColumn("shard", shard)
     files, base = _filesystem(folder)
     files.create_dir(base, recursive=True)
-    # Nulls have shards of their own before the others.
-    dealt = src.repartitionById(2 * shards + 1, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), F.xxhash64("text"), F.asc_nulls_first("text"))
+    dealt = src.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), F.xxhash64("text"), F.asc_nulls_first("text"))
     dealt = dealt.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "shard")
     return common.cut(dealt.mapInPandas(_writer(folder, path, end_id), "shard int, n_docs long, n_ids long"))
 

@@ -35,7 +35,9 @@ def test_order_shards_and_whole_results(spark):
 
 def test_each_shard_is_a_task(spark):
     df = spark.range(1000).selectExpr("id as doc_id", "'x' as text")
-    dealt = df.withColumn("shard", records.shard_of(df, 16)).repartitionById(33, "shard").selectExpr("shard", "spark_partition_id() as p").distinct().collect()
+    shard, n = records.shard_of(df, 16)
+    assert n == 16
+    dealt = df.withColumn("shard", shard).repartitionById(n, "shard").selectExpr("shard", "spark_partition_id() as p").distinct().collect()
     assert len({r.p for r in dealt}) == len({r.shard for r in dealt}) == len(dealt) == 16
 
 
