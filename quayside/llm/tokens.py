@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 from array import array
-from itertools import filterfalse, islice, pairwise
+from collections import defaultdict
+from itertools import count, filterfalse, islice, pairwise
 
 import numpy as np
 
@@ -24,17 +25,6 @@ _line = re.compile(r"(?<=\S)\n(?=\S)")
 _STOPS, _PLAIN = frozenset(".,"), frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 
 
-class _Known(dict):
-    """Ids by chunk; what is looked up in vain is listed in order, and None in its place."""
-
-    def __init__(self, *rows):
-        super().__init__(*rows)
-        self.missing: list = []
-
-    def __missing__(self, chunk):
-        self.missing.append(chunk)
-
-
 class Encoder:
     """encode(texts) gives what encode_batch(texts, add_special_tokens=False) of the tokenizers library gives, as uint32 arrays.
 
@@ -60,7 +50,8 @@ class Encoder:
         self.marked[[i for t, i in self.tokenizer.get_vocab().items() if (t.endswith(suffix) if suffix else t.startswith("Ġ"))]] = True
         #: By chunk, and by chunk without the space that it starts with.
         self.first: dict = {}
-        self.later = _Known()
+        # What is looked up in vain gets the next number in place of ids.
+        self.later: defaultdict = defaultdict(count().__next__, {None: b""})
 
     def _library(self, chunks: list[str], into: dict, space: str) -> None:
         for i in range(0, len(chunks), TOGETHER):
@@ -99,7 +90,7 @@ class Encoder:
         self._library(whole, into, space)
         # What is cut off is learnt by itself; neither kind of piece is cut into lines again.
         heads = {c[:-1] for c in ended}.union(x[0] for _, x in lines)
-        if heads := {c for c in heads if c not in into}:
+        if heads := {c for c in heads if into.get(c).__class__ is not bytes}:
             self._learn(heads, into, space)
         first = self.first
         if tails := {t for _, x in lines for t in x[1:]}.difference(first):
@@ -113,11 +104,10 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.later) > self.kept:
-            self.later = _Known(islice(self.later.items(), int(BACK * self.kept)))
+            self.later = defaultdict(count().__next__, islice(self.later.items(), int(BACK * self.kept)))
         if len(self.first) > self.kept // 10:
             self.first = dict(islice(self.first.items(), int(BACK * self.kept / 10)))
         first, later = self.first, self.later
-        later[None] = b""
         split: list[list | None] = []
         heads: list[str] = []
         for x in texts:
@@ -139,28 +129,20 @@ class Encoder:
             split.append(parts)
         if new := set(heads).difference(first):
             self._learn(new, first, "")
-        # Each chunk is looked up once; those that are missing are learnt together and put in their places.
-        get, missing, gaps = later.__getitem__, later.missing, []
-        missing.clear()
-        for i, x in enumerate(split):
-            if x is not None:
-                at = len(missing)
-                split[i] = list(map(get, x))
-                if len(missing) > at:
-                    gaps.append((i, at, len(missing)))
-        if missing:
-            self._learn(set(missing), later, " ")
-        for i, a, b in gaps:
-            x, at = split[i], -1
-            for c in missing[a:b]:
-                at = x.index(None, at + 1)
-                x[at] = later[c]
-        missing.clear()
-        out = []
+        # Each chunk is looked up once; those that are missing are learnt together, and their ids put in place of their numbers.
+        get, before = later.__getitem__, len(later)
+        split = [x if x is None else list(map(get, x)) for x in split]
+        new = list(islice(reversed(later), len(later) - before))[::-1]
+        base = later[new[0]] if new else 0
+        if new:
+            self._learn(set(new), later, " ")
+        found, out = [later[c] for c in new], []
         for text, head, x in zip(texts, heads, split, strict=True):
             if x is None:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
             else:
+                if new:
+                    x = [v if v.__class__ is bytes else found[v - base] for v in x]
                 x[0] = first[head]
                 out.append(np.frombuffer(b"".join(x), np.uint32))
         return out
