@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -31,11 +32,17 @@ def hold(module: str) -> None:
         for empty in forget.values():
             empty()
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # only glibc can give free memory back
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        trim()
     _holder[:] = [module]
 
 
+def trim() -> None:
+    """Give a worker's free memory back to the machine, where the libraries can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc can
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -158,6 +158,8 @@ def _postings(n: int, bits: int):
                     sets, classes, held, seq = [], {}, 0, seq + 1
         if sets:
             yield flush()
+        del sets, classes
+        common.trim()
 
     return run
 
@@ -227,7 +229,10 @@ def _active(bits: int, num: int, den: int):
         g, d = g[order], d[order]
         ends = np.searchsorted(d, np.arange(k + 1))
         at = np.flatnonzero(keep)
-        return pd.DataFrame({"cls": [cls[i] for i in at], "n": size[at], "prefix": prefix[at], "grams": pd.Series([g[ends[i] : ends[i + 1]].astype(np.int64) for i in at], dtype="object")})
+        out = pd.DataFrame({"cls": [cls[i] for i in at], "n": size[at], "prefix": prefix[at], "grams": pd.Series([g[ends[i] : ends[i + 1]].astype(np.int64) for i in at], dtype="object")})
+        del kept, gram, df, f, order, sel
+        common.trim()
+        return out
 
     return run
 
@@ -332,6 +337,7 @@ def _join(num: int, den: int):
         out = []
         for _, g in pdf.groupby(["unit", "i", "j"], sort=False):
             out += link_block(g["cls"].tolist(), g["n"].tolist(), [np.asarray(x, np.int64) for x in g["grams"]], num, den, g["label"].tolist())
+        common.trim()
         return pd.DataFrame(out, columns=["u", "v"])
 
     return run

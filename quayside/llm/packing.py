@@ -88,7 +88,7 @@ def _packer(path: str, end_id: int, capacity: int, least: int, kept: int):
             out: list[tuple] = []
             ids = pdf["doc_id"].tolist()
             texts = [x if isinstance(x, str) else "" for x in pdf["text"]]
-            for part in tokens.runs(texts):
+            for part in tokens.runs(texts, min(tokens.RUN, 5 * kept)):
                 for doc_id, got in zip(ids[part], enc.encode(texts[part]), strict=True):
                     got, start = np.concatenate((got, end)), 0
                     data = memoryview(got.astype("<u4")).cast("B")

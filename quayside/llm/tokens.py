@@ -148,7 +148,11 @@ class Encoder:
         return out
 
 
-def runs(texts: list[str], chars: int = 6_000_000):
+#: Characters of texts that are encoded together.
+RUN = 6_000_000
+
+
+def runs(texts: list[str], chars: int = RUN):
     """Slices of texts of about so many characters, or of one text."""
     a = held = 0
     for i, x in enumerate(texts):
