@@ -462,6 +462,8 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
     pairs = common.join_hot(pairs, _least(sets, labels, row), "cls")
     # Rows that go, and those of which one stays; the rest isn't listed.
     marks = common.cut(pairs.select(F.col("doc_id").alias("mark_id"), F.col("key").alias("mark_key"), row.eqNullSafe(F.col("least")).alias("mark_first"), "rows").where("not mark_first or rows > 1").drop("rows"))
+    # Marks grow with the data, so they are dealt out at every size, never sent to every task.
+    marks = marks.hint("merge")
     key = F.xxhash64(docs["text"])
     same = (key == F.col("mark_key")) & docs["doc_id"].cast("long").eqNullSafe(F.col("mark_id"))
     kept = docs.join(marks, same, "left_anti")
