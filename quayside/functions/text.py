@@ -23,7 +23,7 @@ def int_or(x: Column, default: int = 0) -> Column:
 
 def html_to_text(x: Column) -> Column:
     """Line breaks for <br> and </p>, no tags, common entities, single blanks, no white space at the ends; in that order."""
-    steps = [(r"(?i)<br\s*/?>", "\n"), (r"(?i)</p>", "\n\n"), (r"<[^>]+>", ""), ("&amp;", "&"), ("&nbsp;", " "), (r"&[a-zA-Z#0-9]+;", " "), (r"[ \t]+", " "), (r"^\s+|\s+$", "")]
+    steps = [(r"(?i)<br\s*/?>", "\n"), (r"(?i)</p>", "\n\n"), (r"<[^>]+>", ""), ("&amp;", "&"), ("&nbsp;", " "), (r"&#?\w+;", " "), (r"[ \t]+", " "), (r"^\s+|\s+$", "")]
     for pattern, by in steps:
         x = F.regexp_replace(x, pattern, by)
     return x

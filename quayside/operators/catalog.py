@@ -31,12 +31,12 @@ def latest_record(records: DataFrame) -> DataFrame:
 
 
 def product_badges(products: DataFrame, records: DataFrame, as_of: str) -> DataFrame:
-    """product_id, badges (in a fixed order): verified record, same batch, tested under 183 days ago, tracking, wholesale."""
+    """product_id, badges (in a fixed order): usable record, same batch, tested under 183 days ago, tracking, wholesale."""
     c = latest_record(records).select("product_id", F.col("status").alias("coa"), F.col("batch_number").alias("coa_batch"), "issue_date")
     has = F.col("coa").isNotNull()
     badge = lambda cond, name: F.when(cond, name)
     recent = F.datediff(F.lit(as_of).cast("date"), "issue_date") < 183
-    badges = F.array_compact(F.array(badge(F.col("coa") == "verified", "verified_coa"), badge(has & (F.col("coa_batch") == F.col("batch_number")), "batch_linked"), badge(has & recent, "recently_tested"), F.lit("tracking"), badge(F.col("wholesale"), "wholesale")))
+    badges = F.array_compact(F.array(badge(has, "verified_coa"), badge(has & (F.col("coa_batch") == F.col("batch_number")), "batch_linked"), badge(has & recent, "recently_tested"), F.lit("tracking"), badge(F.col("wholesale"), "wholesale")))
     return products.join(c, "product_id", "left").select("product_id", badges.alias("badges"))
 
 
@@ -85,12 +85,12 @@ def batch_warnings(products: DataFrame, records: DataFrame) -> DataFrame:
     return x.withColumn("warning", warning).where(F.col("warning").isNotNull()).select("product_id", "warning")
 
 
-def related(products: DataFrame, n: int = 4) -> DataFrame:
-    """Per live product, the first n other live products of its category by id. A sequence number stands for the list, so no category is joined with itself in full."""
-    live = products.where(F.col("status") == "live").select("product_id", "category")
-    w = Window.partitionBy("category").orderBy("product_id")
-    first = live.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n + 1).select("category", F.col("product_id").alias("related_id"))
-    heads = first.groupBy("category").agg(F.sort_array(F.collect_list("related_id")).alias("ids"))
-    own = live.join(heads, "category")
+def related(products: DataFrame, n: int = 4, key: str = "category") -> DataFrame:
+    """Per live product, the first n other live products of its category (or another key) by id. A sequence number stands for the list, so no category is joined with itself in full."""
+    live = products.where(F.col("status") == "live").select("product_id", key)
+    w = Window.partitionBy(key).orderBy("product_id")
+    first = live.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n + 1).select(key, F.col("product_id").alias("related_id"))
+    heads = first.groupBy(key).agg(F.sort_array(F.collect_list("related_id")).alias("ids"))
+    own = live.join(heads, key)
     picked = F.slice(F.filter("ids", lambda i: i != F.col("product_id")), 1, n)
     return own.select("product_id", F.posexplode(picked).alias("pos", "related_id")).select("product_id", (F.col("pos") + 1).alias("position"), "related_id")

@@ -66,10 +66,10 @@ def suggest(products: DataFrame, vendors: DataFrame, q: str) -> DataFrame:
 
 
 def grouped(groups: dict[str, tuple[DataFrame, int]], q: str) -> DataFrame:
-    """label, id, title, position: of each group's (id, title) the first matches; groups without any are absent."""
-    out = None
+    """label, id, title, position: of each group's (id, title) the first matches; groups without any are absent, and all are for less than two characters."""
+    out, q = None, clean_query(q)
     for label, (df, n) in groups.items():
-        hit = df.where(F.col("title").ilike(pattern_of(clean_query(q)))).select(F.lit(label).alias("label"), "id", "title")
+        hit = df.where(F.lit(len(q) >= 2) & F.col("title").ilike(pattern_of(q))).select(F.lit(label).alias("label"), "id", "title")
         hit = hit.withColumn("position", F.row_number().over(Window.partitionBy("label").orderBy("title", "id"))).where(F.col("position") <= n)
         out = hit if out is None else out.unionByName(hit)
     return out

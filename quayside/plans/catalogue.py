@@ -97,7 +97,7 @@ def admin_queue_counts(s, d):
     return a.crossJoin(b).crossJoin(c).withColumn("queue_total", F.col("suspended_vendors") + F.col("draft_products") + F.col("submitted_records"))
 
 
-@query("with rules as (select l_suppkey as vendor_id, l_shipdate as effective_from, cast(l_linenumber as decimal(6,4)) / 100 as rate from lineitem where l_returnflag = 'N' and l_orderkey % 4 = 0) select s_suppkey as vendor_id, cast(coalesce(m.rate, 0.12) as double) as rate from supplier left join (select vendor_id, arg_max(rate, (effective_from, rate)) as rate from rules group by 1) m on m.vendor_id = s_suppkey")
+@query("with rules as (select l_suppkey as vendor_id, l_shipdate as effective_from, cast(l_linenumber as decimal(6,4)) / 100 as rate from lineitem where l_returnflag = 'N') select s_suppkey as vendor_id, cast(coalesce(m.rate, 0.12) as double) as rate from supplier left join (select vendor_id, arg_max(rate, (effective_from, rate)) as rate from rules group by 1) m on m.vendor_id = s_suppkey")
 def commission_resolve(s, d):
     li = bind.table(s, d, "lineitem").where(F.col("l_returnflag") == "N")
     own = li.select(F.lit("vendor").alias("scope"), F.col("l_suppkey").alias("vendor_id"), F.col("l_shipdate").alias("effective_from"), F.lit(None).cast("timestamp_ntz").alias("effective_to"), (F.col("l_linenumber").cast("decimal(6,4)") / 100).alias("rate"))
@@ -147,7 +147,7 @@ def latest_coa(s, d):
     return catalog.latest_record(bind.compliance(s, d)).select("product_id", "record_id", "status")
 
 
-@query(with_tables("product compliance", f"select p.product_id, concat_ws(',', case when c.status = 'verified' then 'verified_coa' end, case when c.batch_number = p.batch_number then 'batch_linked' end, case when date '{COA_AS_OF}' - c.issue_date < 183 then 'recently_tested' end, 'tracking', case when p.product_id % 4 = 0 then 'wholesale' end) as badges from product p left join {_LATEST} c on c.product_id = p.product_id"))
+@query(with_tables("product compliance", f"select p.product_id, concat_ws(',', case when c.product_id is not null then 'verified_coa' end, case when c.batch_number = p.batch_number then 'batch_linked' end, case when date '{COA_AS_OF}' - c.issue_date < 183 then 'recently_tested' end, 'tracking', case when p.product_id % 4 = 0 then 'wholesale' end) as badges from product p left join {_LATEST} c on c.product_id = p.product_id"))
 def product_badges(s, d):
     p = bind.products(s, d).withColumn("wholesale", F.col("product_id") % 4 == 0)
     return catalog.product_badges(p, bind.compliance(s, d), COA_AS_OF).select("product_id", F.array_join("badges", ",").alias("badges"))
@@ -204,7 +204,7 @@ def offers_jsonld(s, d):
 # Scores
 
 
-@query(with_tables("compliance", f"select product_id, case when status in ('expired', 'rejected') then 0 when status = 'verified' and pesticides = 'pass' and heavy_metals = 'pass' and microbials = 'pass' then 3 when status = 'verified' then 2 else 1 end as tier from compliance where record_id % 10 = 0"))
+@query(with_tables("compliance", f"select record_id, product_id, case when status in ('expired', 'rejected') then 0 when status = 'verified' and pesticides = 'pass' and heavy_metals = 'pass' and microbials = 'pass' then 3 when status = 'verified' then 2 else 1 end as tier from compliance"))
 def compliance_tier(s, d):
     return bind.compliance(s, d).select("record_id", "product_id", scoring.compliance_tier(F.col("status"), F.col("pesticides"), F.col("heavy_metals"), F.col("microbials")).alias("tier"))
 
@@ -264,7 +264,7 @@ def _scored(s, d):
     return bind.table(s, d, "part").select(k.alias("id"), F.col("p_type").alias("page"), (k % 4).alias("tier"), F.round(score, 6).alias("score"))
 
 
-@query(f"select page, id, position from (select *, row_number() over (partition by page order by score desc, id) as position from ({_RANK_SQL})) where position <= 24")
+@query(f"select page, id, row_number() over (partition by page order by score desc, id) as position from ({_RANK_SQL})")
 def rank_products(s, d):
     w = Window.partitionBy("page").orderBy(F.desc("score"), "id")
     return _scored(s, d).withColumn("position", F.row_number().over(w)).select("page", "id", "position")
@@ -381,7 +381,7 @@ def enforcement_ladder(s, d):
 # Text
 
 
-@query("select page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<br\\s*/?>', chr(10), 'g'), '(?i)</p>', chr(10) || chr(10), 'g'), '<[^>]+>', '', 'g'), '&amp;', '&'), '&nbsp;', ' '), '&[a-zA-Z#0-9]+;', ' ', 'g'), '[ \\t]+', ' ', 'g'), '^\\s+', '', 'g'), '\\s+$', '', 'g')) as text_md5 from pages")
+@query("select page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<br\\s*/?>', chr(10), 'g'), '(?i)</p>', chr(10) || chr(10), 'g'), '<[^>]+>', '', 'g'), '&amp;', '&'), '&nbsp;', ' '), '&#?\\w+;', ' ', 'g'), '[ \\t]+', ' ', 'g'), '^\\s+', '', 'g'), '\\s+$', '', 'g')) as text_md5 from pages")
 def html_to_text(s, d):
     return bind.table(s, d, "pages").select("page_id", F.md5(T.html_to_text(F.col("html"))).alias("text_md5"))
 
@@ -524,9 +524,9 @@ def eav_pivot(s, d):
     return content.pivot_meta(meta, ["lab", "segment"])
 
 
-@query("select n_nationkey as topic_id, timestamp '2024-01-01 09:00:00' + to_days(cast(r as int)) as due_at from (select n_nationkey, row_number() over (order by n_nationkey) as r from nation) where r <= 20")
+@query("select n_nationkey as topic_id, timestamp '2024-01-01 09:00:00' + to_days(cast(r as int)) as due_at from (select n_nationkey, row_number() over (order by n_nationkey) as r from nation) where r <= 120")
 def topic_schedule(s, d):
-    return content.schedule(bind.table(s, d, "nation").select(F.col("n_nationkey").alias("topic_id")), "2024-01-01", 20)
+    return content.schedule(bind.table(s, d, "nation").select(F.col("n_nationkey").alias("topic_id")), "2024-01-01")
 
 
 # Limits before filters
@@ -630,3 +630,6 @@ def slug_uniquify(s, d):
     c = bind.table(s, d, "customer")
     taken = c.select(F.col("c_mktsegment").alias("slug")).unionByName(c.where("c_custkey % 2 = 0").select(F.concat("c_mktsegment", F.lit("-2")).alias("slug")))
     return rules.unique_slugs(c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("base")), taken)
+
+
+from . import pages  # noqa: E402, F401  registers its queries here

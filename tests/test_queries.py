@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def db():
     c = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events documents pages".split():
+    for t in "region nation customer supplier part orders lineitem events documents pages conversations".split():
         c.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     return c
 
