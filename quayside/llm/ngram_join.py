@@ -3,9 +3,9 @@
 1. Every text becomes the set of its distinct word n-grams (hashes). Texts with equal sets form one class.
 2. An inverted index, dealt out by ranges of the hash (as many as the n-grams need), finds the n-grams that more than one
    class holds. Mappers count first: an n-gram comes to the index once from each flush of up to FLUSH_GRAMS, however many
-   classes hold it there, and which of them do waits with the flush. An n-gram held once can link nothing, so only the
-   shared ones travel on. The global order of n-grams is ascending document frequency, then hash; n-grams held once come
-   first.
+   classes hold it there, and which of them do waits with the flush, as do the ids of its rows: texts are read once. An
+   n-gram held once can link nothing, so only the shared ones travel on, numbered. The global order of n-grams is ascending document frequency, then number; n-grams held
+   once come first.
 3. By the prefix bound a class can only link if one of its first n - ceil(t n) + 1 n-grams is shared. Classes whose
    prefix holds only n-grams of their own leave here. The others are compared with one class of each shared prefix n-gram,
    ROUNDS times with another one: what is nearly equal is mostly connected by that. An n-gram all of whose holders are
@@ -18,7 +18,7 @@
 5. The links (a spanning forest, never all pairs) give components.
 
 Nulls and texts without words: empty sets, linked with nothing. Repeated rows fall in one class. A class is known by a hash
-of 128 bits, an n-gram by one of 54 to 64. An empty table gives no rows; other columns play no part. Texts of any length
+of 128 bits, an n-gram by one of 54. An empty table gives no rows; other columns play no part. Texts of any length
 are read whole; one set must fit in a task.
 """
 
@@ -39,8 +39,12 @@ from . import common
 
 #: Odd multipliers for the positions of a word in an n-gram.
 STEPS = [np.uint64(2 * i * 0x9E3779B97F4A7C15 + 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF | 1) for i in range(1, 33)]
-#: n-grams and documents that a mapper gathers before it writes, distinct words whose hash it keeps.
-FLUSH_GRAMS, FLUSH_DOCS, WORDS = 2_000_000, 65_000, 400_000
+#: n-grams, classes and rows that a mapper gathers before it writes, distinct words whose hash it keeps.
+FLUSH_GRAMS, FLUSH_DOCS, FLUSH_ROWS, WORDS = 2_000_000, 65_000, 260_000, 400_000
+#: Bits of an n-gram's hash, the same at any size: what lies past a bucket's bits travels.
+GRAM_BITS = 54
+#: The place of no class in a flush.
+NONE = 0xFFFF
 #: n-grams for which there is a bucket of the index (about 70 bytes each in a task).
 BUCKET_GRAMS = 500_000
 #: Shared n-grams that one task joins, chunks of which a block is joined by pairs, comparisons with single classes.
@@ -76,16 +80,6 @@ def _class_of(grams: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(grams.tobytes())
 
 
-def _sets(n: int):
-    def run(batches):
-        common.hold("ngram_join")
-        for pdf in batches:
-            sets = [gram_set(x, n) for x in pdf["text"]]
-            yield pd.DataFrame({**pdf.drop(columns="text"), "n_shingles": [len(s) for s in sets], "cls": [_class_of(s) if len(s) else None for s in sets]})
-
-    return run
-
-
 def _pack_counts(counts: np.ndarray) -> bytes:
     """A bit for each count that tells whether it is over one, then the counts over one."""
     more = counts > 1
@@ -99,73 +93,83 @@ def _unpack_counts(x: bytes, k: int, at: int) -> np.ndarray:
     return out
 
 
+def _pack_planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, the lowest bytes first, compressed after their size."""
+    data = zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
+    return np.uint32(len(data)).tobytes() + data
+
+
+def _unpack_planes(x: bytes, k: int, at: int, kind: type) -> tuple[np.ndarray, int]:
+    """k numbers, and where they end."""
+    n, size = int(np.frombuffer(x, np.uint32, 1, at)[0]), np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.decompress(x[at + 4 : at + 4 + n], size * k), np.uint8).reshape(size, k)
+    return np.ascontiguousarray(planes.T).view(kind).ravel(), at + 4 + n
+
+
 def _pack_grams(g: np.ndarray) -> bytes:
-    """The low 48 bits of ascending n-grams: the steps of the upper 32 byte by byte, compressed after their size, and the lower 16."""
-    steps = np.diff((g >> np.uint64(16)).astype(np.uint32), prepend=np.uint32(0))
-    data = zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
-    return np.uint32(len(data)).tobytes() + data + (g & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
+    """The low 48 bits of ascending n-grams: the steps of the upper 32, and the lower 16."""
+    return _pack_planes(np.diff((g >> np.uint64(16)).astype(np.uint32), prepend=np.uint32(0))) + (g & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
 
 
 def _unpack_grams(x: bytes, k: int, at: int) -> tuple[np.ndarray, int]:
     """k n-grams, and where they end."""
-    n = int(np.frombuffer(x, np.uint32, 1, at)[0])
-    steps = np.frombuffer(zstandard.decompress(x[at + 4 : at + 4 + n], 4 * k), np.uint8).reshape(4, k)
-    hi = np.cumsum(np.ascontiguousarray(steps.T).view(np.uint32).ravel(), dtype=np.uint32)
-    at += 4 + n
+    steps, at = _unpack_planes(x, k, at, np.uint32)
+    hi = np.cumsum(steps, dtype=np.uint32)
     return hi.astype(np.uint64) << np.uint64(16) | np.frombuffer(x, np.uint16, k, at), at + 2 * k
 
 
 def _postings(n: int, bits: int):
-    """Rows (bucket, flush, data): a flush's distinct n-grams of a hash range, each with the number of classes that hold it there; past the buckets, each flush's classes, their sizes and which of them hold each n-gram."""
+    """Rows (bucket, flush, data): a flush's distinct n-grams of a hash range, each with the number of classes that hold it there; past the buckets, each flush's rows, classes, their sizes and which of them hold each n-gram."""
 
     def run(batches):
         common.hold("ngram_join")
         part, seq = TaskContext.get().partitionId(), 0
         sets: list[np.ndarray] = []
         classes: dict[bytes, int] = {}
+        #: Of each row: id, whether it has none, key, and the place of its class (NONE without words).
+        docs: list[tuple[int, int, int, int]] = []
         held = 0
 
         def flush():
             flush_id = (part << 24) | seq
-            g = np.concatenate(sets)
-            if bits < 16:
-                g = g >> np.uint64(16 - bits)
+            g = np.concatenate([np.empty(0, np.uint64), *sets]) >> np.uint64(64 - GRAM_BITS)
             doc = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
             order = np.argsort(g, kind="stable")
             g, doc = g[order], doc[order]
-            first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+            first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.empty(0, np.int64)
             g, counts = g[first], np.diff(np.append(first, len(g)))
-            place = (g >> np.uint64(64 - max(16, bits))).astype(np.int64) if bits > 16 else (g >> np.uint64(48)).astype(np.int64)
+            place = (g >> np.uint64(GRAM_BITS - bits)).astype(np.int64)
             start = np.flatnonzero(np.diff(place, prepend=-1))
-            buckets, ends = place[start], np.append(start[1:], len(g))
-            low = g & np.uint64((1 << 48) - 1)
+            buckets, ends = place[start], np.append(start[1:], len(g))[: len(start)]
+            low = g & np.uint64((1 << (GRAM_BITS - bits)) - 1)
             rows = [(b, flush_id, np.uint32(z - a).tobytes() + _pack_grams(low[a:z]) + _pack_counts(counts[a:z])) for b, a, z in zip(buckets.tolist(), start.tolist(), ends.tolist(), strict=True)]
-            head = np.array([len(sets), len(doc), len(buckets)], np.int64).tobytes() + b"".join(classes) + np.array([len(s) for s in sets], np.int64).tobytes()
+            ids, none, keys, of = np.array(docs, np.int64).T
+            head = np.array([len(sets), len(doc), len(buckets), len(docs)], np.int64).tobytes() + ids.tobytes() + keys.tobytes() + none.astype(np.uint8).tobytes() + of.astype(np.uint16).tobytes()
+            head += b"".join(classes) + np.array([len(s) for s in sets], np.int64).tobytes()
             rows.append(((1 << bits) + flush_id, flush_id, head + buckets.tobytes() + ends.astype(np.int64).tobytes() + doc.tobytes() + _pack_counts(counts)))
             return pd.DataFrame(rows, columns=["bucket", "flush", "data"])
 
         for pdf in batches:
-            for text in pdf["text"]:
+            for text, *row in zip(pdf["text"], pdf["id"].tolist(), pdf["none"].tolist(), pdf["key"].tolist(), strict=True):
                 s = gram_set(text, n)
-                c = _class_of(s) if len(s) else None
-                if c is None or c in classes:
-                    continue
-                classes[c] = 1
-                sets.append(s)
-                held += len(s)
-                if held >= FLUSH_GRAMS or len(sets) >= FLUSH_DOCS:
+                at = NONE
+                if len(s) and (at := classes.setdefault(_class_of(s), len(sets))) == len(sets):
+                    sets.append(s)
+                    held += len(s)
+                docs.append((*row, at))
+                if held >= FLUSH_GRAMS or len(sets) >= FLUSH_DOCS or len(docs) >= FLUSH_ROWS:
                     yield flush()
-                    sets, classes, held, seq = [], {}, 0, seq + 1
-        if sets:
+                    sets, classes, docs, held, seq = [], {}, [], 0, seq + 1
+        if docs:
             yield flush()
-        del sets, classes
+        del sets, classes, docs
         common.trim()
 
     return run
 
 
 def _shared(bits: int):
-    """For each flush, which of its n-grams in a bucket two or more classes hold anywhere, and how many: rows (flush, bucket, data). An n-gram comes once from a flush, however many hold it there."""
+    """For each flush, which of its n-grams in a bucket two or more classes hold anywhere, and how many: rows (flush, bucket, data). An n-gram comes once from a flush, however many hold it there, and goes back by its number among the bucket's shared ones."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         bucket = int(pdf["bucket"].iloc[0])
@@ -183,30 +187,34 @@ def _shared(bits: int):
         sorted_g = g[order]
         starts = np.flatnonzero(np.concatenate(([True], sorted_g[1:] != sorted_g[:-1])))
         total = np.minimum(np.add.reduceat(c[order], starts, dtype=np.int64), 65535).astype(np.uint16)
-        df = np.empty(len(g), np.uint16)
-        df[order] = np.repeat(total, np.diff(np.append(starts, len(g))))
+        times = np.diff(np.append(starts, len(g)))
+        df, number = np.empty(len(g), np.uint16), np.empty(len(g), np.uint32)
+        df[order] = np.repeat(total, times)
+        number[order] = np.repeat((np.cumsum(total > 1) - 1).astype(np.uint32), times)
         keep = df > 1
         out = []
         for flush, a, b in zip(pdf["flush"], ends[:-1], ends[1:], strict=True):
             k = keep[a:b]
             if k.any():
-                out.append((flush, bucket, np.packbits(k).tobytes() + _pack_grams(g[a:b][k]) + df[a:b][k].tobytes()))
+                out.append((flush, bucket, np.packbits(k).tobytes() + _pack_planes(np.diff(number[a:b][k], prepend=np.uint32(0))) + _pack_planes(df[a:b][k])))
         return pd.DataFrame(out, columns=["flush", "bucket", "data"])
 
     return run
 
 
 def _active(bits: int, num: int, den: int):
-    """The classes of a flush that can link: (cls, n, grams: shared n-grams in the global order, prefix: how many of them are in the prefix)."""
+    """The classes of a flush that can link: (cls, n, grams: shared n-grams in the global order, prefix: how many of them are in the prefix). And its rows, whose prefix is 0: (id, none, key, cls, n)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         head = pdf.loc[pdf["bucket"] < 0, "data"].iloc[0]
-        k, held, m = np.frombuffer(head, np.int64, 3).tolist()
-        cls, at = [head[24 + 16 * i : 40 + 16 * i] for i in range(k)], 24 + 16 * k
+        k, held, m, rows = np.frombuffer(head, np.int64, 4).tolist()
+        ids, keys, none = np.frombuffer(head, np.int64, rows, 32), np.frombuffer(head, np.int64, rows, 32 + 8 * rows), np.frombuffer(head, np.uint8, rows, 32 + 16 * rows)
+        of, at = np.frombuffer(head, np.uint16, rows, 32 + 17 * rows).astype(np.int64), 32 + 19 * rows
+        cls, at = [head[at + 16 * i : at + 16 + 16 * i] for i in range(k)], at + 16 * k
         size, at = np.frombuffer(head, np.int64, k, at), at + 8 * k
         buckets, ends, at = np.frombuffer(head, np.int64, m, at), np.frombuffer(head, np.int64, m, at + 8 * m), at + 16 * m
         d = np.frombuffer(head, np.uint16, held, at)
-        total = int(ends[-1])
+        total = int(ends[-1]) if m else 0
         holders = _unpack_counts(head, total, at + 2 * held)
         kept, gram, df = np.zeros(total, bool), np.zeros(total, np.uint64), np.zeros(total, np.uint16)
         for bucket, x in zip(pdf["bucket"].tolist(), pdf["data"], strict=True):
@@ -216,9 +224,9 @@ def _active(bits: int, num: int, den: int):
                 w = (b - a + 7) // 8
                 at = a + np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8, w), count=b - a))
                 kept[at] = True
-                g, end = _unpack_grams(x, len(at), w)
-                gram[at] = g | np.uint64(bucket >> max(0, bits - 16)) << np.uint64(48)
-                df[at] = np.frombuffer(x, np.uint16, len(at), end)
+                steps, end = _unpack_planes(x, len(at), w, np.uint32)
+                gram[at] = np.cumsum(steps, dtype=np.uint64) << np.uint64(bits) | np.uint64(bucket)
+                df[at], _ = _unpack_planes(x, len(at), end, np.uint16)
         d, g, f = d[np.repeat(kept, holders)], np.repeat(gram[kept], holders[kept]), np.repeat(df[kept], holders[kept])
         count = np.bincount(d, minlength=k)
         prefix = size - (num * size + den - 1) // den + 1 - (size - count)
@@ -229,7 +237,18 @@ def _active(bits: int, num: int, den: int):
         g, d = g[order], d[order]
         ends = np.searchsorted(d, np.arange(k + 1))
         at = np.flatnonzero(keep)
-        out = pd.DataFrame({"cls": [cls[i] for i in at], "n": size[at], "prefix": prefix[at], "grams": pd.Series([g[ends[i] : ends[i + 1]].astype(np.int64) for i in at], dtype="object")})
+        pad, names, sizes = np.zeros(len(at), np.int64), [*cls, *[None] * (NONE + 1 - k)], np.append(size, 0)
+        out = pd.DataFrame(
+            {
+                "id": np.append(ids, pad),
+                "none": np.append(none.astype(np.int64), pad),
+                "key": np.append(keys, pad),
+                "cls": [*(names[i] for i in of), *(cls[i] for i in at)],
+                "n": np.append(sizes[np.minimum(of, k)], size[at]),
+                "prefix": np.append(np.zeros(rows, np.int64), prefix[at]),
+                "grams": pd.Series([*[None] * rows, *(g[ends[i] : ends[i + 1]].astype(np.int64) for i in at)], dtype="object"),
+            }
+        )
         del kept, gram, df, f, order, sel
         common.trim()
         return out
@@ -348,13 +367,22 @@ def _bits(n: int, parts: int) -> int:
     return min(26, max(6, (parts - 1).bit_length(), (max(1, n // BUCKET_GRAMS) - 1).bit_length()))
 
 
-def _active_rows(src: DataFrame, n: int, num: int, den: int, bits: int) -> DataFrame:
-    """cls, n, prefix, grams: the classes that can link, once each."""
-    posts = src.select("text").mapInPandas(_postings(n, bits), "bucket long, flush long, data binary")
+def _index(src: DataFrame, n: int, num: int, den: int, bits: int) -> DataFrame:
+    """What _active makes of src (text; id, none and key if they matter), a class once for each flush that holds it."""
+    src = src.select("text", *(c if c in src.columns else F.lit(0).cast("long").alias(c) for c in ("id", "none", "key")))
+    posts = src.mapInPandas(_postings(n, bits), "bucket long, flush long, data binary")
     shared = posts.groupBy("bucket").applyInPandas(_shared(bits), "flush long, bucket long, data binary")
-    active = shared.groupBy("flush").applyInPandas(_active(bits, num, den), "cls binary, n long, prefix long, grams array<long>")
+    return common.cut(shared.groupBy("flush").applyInPandas(_active(bits, num, den), "id long, none long, key long, cls binary, n long, prefix long, grams array<long>"))
+
+
+def _classes(index: DataFrame) -> DataFrame:
+    """cls, n, prefix, grams: the classes that can link, once each."""
     # A class has the same row from each flush that holds it.
-    return common.cut(active.groupBy("cls").agg(F.any_value(F.struct("n", "prefix", "grams")).alias("x")).select("cls", "x.*"))
+    return common.cut(index.where("prefix > 0").groupBy("cls").agg(F.any_value(F.struct("n", "prefix", "grams")).alias("x")).select("cls", "x.*"))
+
+
+def _active_rows(src: DataFrame, n: int, num: int, den: int, bits: int) -> DataFrame:
+    return _classes(_index(src, n, num, den, bits))
 
 
 def _round(held: DataFrame, rows: DataFrame, num: int, den: int, last: bool) -> DataFrame:
@@ -433,10 +461,16 @@ def _links(rows: DataFrame, num: int, den: int, block_grams: int) -> DataFrame:
 
 def _linked(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", block_grams: int = BLOCK_GRAMS, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
     """For each row doc_id, n_shingles and cls (null without words); if keyed, key too, the text's hash. And the components (node, label) of the classes that link."""
-    src = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), *([F.xxhash64(text_col).alias("key")] if keyed else []), F.col(text_col).cast("binary").alias("text"))
-    sets = common.cut(common.long_ids(src.mapInPandas(_sets(n), f"doc_id string,{' key long,' if keyed else ''} n_shingles long, cls binary")))
-    grams = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    return sets, _links(_active_rows(src, n, num, den, _bits(grams, common.partitions(docs.sparkSession))), num, den, block_grams)
+    # pandas would make floats of nullable numbers.
+    own = F.col(id_col).cast("long")
+    src = docs.select(F.coalesce(own, F.lit(0)).alias("id"), own.isNull().cast("long").alias("none"), (F.xxhash64(text_col) if keyed else F.lit(0).cast("long")).alias("key"), F.col(text_col).cast("binary").alias("text"))
+    # About six bytes make a word; in texts of shorter words, buckets hold up to three times the n-grams.
+    grams = src.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0] // 6
+    index = _index(src, n, num, den, _bits(grams, common.partitions(docs.sparkSession)))
+    sets = common.cut(index.where("prefix = 0").select(F.when(F.col("none") == 0, F.col("id")).alias("doc_id"), *(["key"] if keyed else []), F.col("n").alias("n_shingles"), "cls"))
+    rows = _classes(index)
+    common.release(index)
+    return sets, _links(rows, num, den, block_grams)
 
 
 def _least(sets: DataFrame, labels: DataFrame, row: Column) -> DataFrame:

@@ -4,6 +4,7 @@ import os
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from quayside.llm import common, ngram_join
@@ -125,3 +126,10 @@ def test_released_tables_are_gone(spark):
     assert os.path.exists(path)
     common.release(df, df, spark.range(3))
     assert not os.path.exists(path)
+
+
+def test_shared_ngrams_go_back_by_number():
+    g = np.unique(np.random.default_rng(1).integers(0, 1 << 48, 20000, dtype=np.uint64))
+    data = np.uint32(len(g)).tobytes() + ngram_join._pack_grams(g) + ngram_join._pack_counts(np.ones(len(g), np.int64))
+    out = ngram_join._shared(6)(pd.DataFrame({"bucket": [3, 3], "flush": [1, 2], "data": [data, data]}))
+    assert len(out) == 2 and max(map(len, out["data"])) < 2 * len(g)
