@@ -40,7 +40,7 @@ from . import common
 #: Odd multipliers for the positions of a word in an n-gram.
 STEPS = [np.uint64(2 * i * 0x9E3779B97F4A7C15 + 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF | 1) for i in range(1, 33)]
 #: n-grams, classes and rows that a mapper gathers before it writes, distinct words whose hash it keeps.
-FLUSH_GRAMS, FLUSH_DOCS, FLUSH_ROWS, WORDS = 2_000_000, 65_000, 260_000, 400_000
+FLUSH_GRAMS, FLUSH_DOCS, FLUSH_ROWS, WORDS = 2_000_000, 65_000, 260_000, 200_000
 #: Bits of an n-gram's hash, the same at any size: what lies past a bucket's bits travels.
 GRAM_BITS = 54
 #: The place of no class in a flush.

@@ -133,3 +133,12 @@ def test_shared_ngrams_go_back_by_number():
     data = np.uint32(len(g)).tobytes() + ngram_join._pack_grams(g) + ngram_join._pack_counts(np.ones(len(g), np.int64))
     out = ngram_join._shared(6)(pd.DataFrame({"bucket": [3, 3], "flush": [1, 2], "data": [data, data]}))
     assert len(out) == 2 and max(map(len, out["data"])) < 2 * len(g)
+
+
+def test_texts_are_read_once(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a b c d"), (2, None), (None, "a b c d")], "doc_id long, text string").coalesce(1)
+    calls, run = [], type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", lambda *x, **y: calls.append(1) or run(*x, **y))
+    sets, _ = ngram_join._linked(df, 3, 80, 100, keyed=True)
+    assert sorted(((r.doc_id, r.n_shingles, r.cls is None) for r in sets.collect()), key=str) == [(1, 2, False), (2, 0, True), (None, 2, False)]
+    assert len(calls) == 1
