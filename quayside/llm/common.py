@@ -9,7 +9,7 @@ import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +80,20 @@ def release(*dfs: DataFrame) -> None:
             jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(jpath, True)
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """The session's setting holds value for what runs inside, and is as before after it."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """About how many bytes of files df reads, as the planner knows it; 0 if it doesn't."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -41,6 +41,8 @@ from . import common
 STEPS = [np.uint64(2 * i * 0x9E3779B97F4A7C15 + 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF | 1) for i in range(1, 33)]
 #: n-grams, classes and rows that a mapper gathers before it writes, distinct words whose hash it keeps.
 FLUSH_GRAMS, FLUSH_DOCS, FLUSH_ROWS, WORDS = 2_000_000, 65_000, 260_000, 200_000
+#: About how many bytes go to or from a worker at once, while texts become postings.
+FRAME = 2 << 20
 #: Bits of an n-gram's hash, the same at any size: what lies past a bucket's bits travels.
 GRAM_BITS = 54
 #: The place of no class in a flush.
@@ -118,6 +120,10 @@ def _unpack_grams(x: bytes, k: int, at: int) -> tuple[np.ndarray, int]:
     return hi.astype(np.uint64) << np.uint64(16) | np.frombuffer(x, np.uint16, k, at), at + 2 * k
 
 
+def _posted(rows: list[tuple[int, int, bytes]]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["bucket", "flush", "data"])
+
+
 def _postings(n: int, bits: int):
     """Rows (bucket, flush, data): a flush's distinct n-grams of a hash range, each with the number of classes that hold it there; past the buckets, each flush's rows, classes, their sizes and which of them hold each n-gram."""
 
@@ -131,23 +137,44 @@ def _postings(n: int, bits: int):
         held = 0
 
         def flush():
-            flush_id = (part << 24) | seq
-            g = np.concatenate([np.empty(0, np.uint64), *sets]) >> np.uint64(64 - GRAM_BITS)
-            doc = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
-            order = np.argsort(g, kind="stable")
-            g, doc = g[order], doc[order]
-            first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.empty(0, np.int64)
-            g, counts = g[first], np.diff(np.append(first, len(g)))
-            place = (g >> np.uint64(GRAM_BITS - bits)).astype(np.int64)
-            start = np.flatnonzero(np.diff(place, prepend=-1))
-            buckets, ends = place[start], np.append(start[1:], len(g))[: len(start)]
-            low = g & np.uint64((1 << (GRAM_BITS - bits)) - 1)
-            rows = [(b, flush_id, np.uint32(z - a).tobytes() + _pack_grams(low[a:z]) + _pack_counts(counts[a:z])) for b, a, z in zip(buckets.tolist(), start.tolist(), ends.tolist(), strict=True)]
+            """Heads first, then the n-grams in small frames. What a step has read goes before the next one, as a flush is most of a worker's memory."""
+            nonlocal sets, classes, docs, held, seq
+            flush_id, k, size = (part << 24) | seq, len(sets), np.array([len(s) for s in sets], np.int64)
             ids, none, keys, of = np.array(docs, np.int64).T
-            head = np.array([len(sets), len(doc), len(buckets), len(docs)], np.int64).tobytes() + ids.tobytes() + keys.tobytes() + none.astype(np.uint8).tobytes() + of.astype(np.uint16).tobytes()
-            head += b"".join(classes) + np.array([len(s) for s in sets], np.int64).tobytes()
-            rows.append(((1 << bits) + flush_id, flush_id, head + buckets.tobytes() + ends.astype(np.int64).tobytes() + doc.tobytes() + _pack_counts(counts)))
-            return pd.DataFrame(rows, columns=["bucket", "flush", "data"])
+            head = [ids.tobytes(), keys.tobytes(), none.astype(np.uint8).tobytes(), of.astype(np.uint16).tobytes(), *classes, size.tobytes()]
+            g, rows = np.concatenate([np.empty(0, np.uint64), *sets]), len(docs)
+            sets, classes, docs, held, seq = [], {}, [], 0, seq + 1
+            g >>= np.uint64(64 - GRAM_BITS)
+            order = np.argsort(g, kind="stable")
+            doc = np.repeat(np.arange(k, dtype=np.uint16), size)[order].tobytes()
+            g = g[order]
+            del order, ids, none, keys, of
+            total = len(g)
+            first = np.flatnonzero(np.concatenate((np.ones(min(total, 1), bool), g[1:] != g[:-1])))
+            # A flush has fewer than 65,536 classes.
+            counts = np.empty(len(first), np.uint16)
+            np.subtract(first[1:], first[:-1], out=counts[:-1], casting="unsafe")
+            counts[-1:] = total - first[-1:]
+            g = g[first]
+            del first
+            place = (g >> np.uint64(GRAM_BITS - bits)).astype(np.uint32)
+            start = np.flatnonzero(np.concatenate((np.ones(min(len(g), 1), bool), place[1:] != place[:-1])))
+            buckets, ends = place[start].astype(np.int64), np.append(start[1:], len(g))[: len(start)]
+            del place
+            g &= np.uint64((1 << (GRAM_BITS - bits)) - 1)
+            head = b"".join([np.array([k, total, len(buckets), rows], np.int64).tobytes(), *head, buckets.tobytes(), ends.astype(np.int64).tobytes(), doc, _pack_counts(counts)])
+            del doc
+            yield _posted([((1 << bits) + flush_id, flush_id, head)])
+            del head
+            out, held_bytes = [], 0
+            for b, a, z in zip(buckets.tolist(), start.tolist(), ends.tolist(), strict=True):
+                out.append((b, flush_id, np.uint32(z - a).tobytes() + _pack_grams(g[a:z]) + _pack_counts(counts[a:z])))
+                held_bytes += len(out[-1][2])
+                if held_bytes >= FRAME:
+                    yield _posted(out)
+                    out, held_bytes = [], 0
+            if out:
+                yield _posted(out)
 
         for pdf in batches:
             for text, *row in zip(pdf["text"], pdf["id"].tolist(), pdf["none"].tolist(), pdf["key"].tolist(), strict=True):
@@ -158,11 +185,10 @@ def _postings(n: int, bits: int):
                     held += len(s)
                 docs.append((*row, at))
                 if held >= FLUSH_GRAMS or len(sets) >= FLUSH_DOCS or len(docs) >= FLUSH_ROWS:
-                    yield flush()
-                    sets, classes, docs, held, seq = [], {}, [], 0, seq + 1
+                    yield from flush()
+                    common.trim()
         if docs:
-            yield flush()
-        del sets, classes, docs
+            yield from flush()
         common.trim()
 
     return run
@@ -372,7 +398,8 @@ def _index(src: DataFrame, n: int, num: int, den: int, bits: int) -> DataFrame:
     src = src.select("text", *(c if c in src.columns else F.lit(0).cast("long").alias(c) for c in ("id", "none", "key")))
     posts = src.mapInPandas(_postings(n, bits), "bucket long, flush long, data binary")
     shared = posts.groupBy("bucket").applyInPandas(_shared(bits), "flush long, bucket long, data binary")
-    return common.cut(shared.groupBy("flush").applyInPandas(_active(bits, num, den), "id long, none long, key long, cls binary, n long, prefix long, grams array<long>"))
+    with common.setting(src.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(FRAME)):
+        return common.cut(shared.groupBy("flush").applyInPandas(_active(bits, num, den), "id long, none long, key long, cls binary, n long, prefix long, grams array<long>"))
 
 
 def _classes(index: DataFrame) -> DataFrame:

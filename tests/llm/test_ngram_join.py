@@ -2,6 +2,8 @@
 
 import os
 import random
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -142,3 +144,44 @@ def test_texts_are_read_once(spark, monkeypatch):
     sets, _ = ngram_join._linked(df, 3, 80, 100, keyed=True)
     assert sorted(((r.doc_id, r.n_shingles, r.cls is None) for r in sets.collect()), key=str) == [(1, 2, False), (2, 0, True), (None, 2, False)]
     assert len(calls) == 1
+
+
+def _posted(monkeypatch, texts, bits, each=400):
+    """What a mapper makes of texts (frames), and the bytes it held at most beyond what it had before."""
+    monkeypatch.setattr(ngram_join, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    batches = ({"text": pd.Series(texts[i : i + each], dtype="object"), "id": np.arange(i, i + each), "none": np.zeros(each, np.int64), "key": np.zeros(each, np.int64)} for i in range(0, len(texts), each))
+    tracemalloc.start()
+    frames = [(len(f), sum(map(len, f["data"])), f if len(texts) < 2000 else None) for f in ngram_join._postings(3, bits)(batches)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return frames, most
+
+
+def test_a_flush_holds_little_more_than_its_ngrams(monkeypatch):
+    r = np.random.default_rng(4)
+    texts = [b" ".join(b"w%d" % w for w in r.integers(0, 3000, 500)) for _ in range(2000)]
+    frames, most = _posted(monkeypatch, texts, 8)
+    heads = sum(rows == 1 and size > ngram_join.FRAME // 2 for rows, size, _ in frames)
+    assert heads == 1 and len(frames) > 2 and sum(rows for rows, *_ in frames) == 257
+    assert most < 45 * 2000 * 498
+
+
+def test_frames_of_any_size_hold_the_same(monkeypatch, texts):
+    def rows(frame):
+        monkeypatch.setattr(ngram_join, "FRAME", frame)
+        return sorted(x for _, _, f in _posted(monkeypatch, [t.encode() for t in texts], 6, len(texts))[0] for x in f.itertuples(index=False, name=None))
+
+    assert rows(1) == rows(2 << 20) and len(rows(1)) > 60
+
+
+def test_small_frames_lose_no_link_and_leave_the_setting(spark, monkeypatch, texts):
+    monkeypatch.setattr(ngram_join, "FRAME", 300)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    sets = [set(ngram_join.gram_set(x.encode(), 3).tolist()) for x in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, cut = [], common.cut
+    monkeypatch.setattr(common, "cut", lambda x: seen.append(spark.conf.get(name)) or cut(x))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df, 3, 70, 100).collect()}
+    assert got == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, all_pairs(sets, 70, 100), strict=True))}
+    assert seen[0] == "300" and {*seen[1:], spark.conf.get(name)} == {before}
