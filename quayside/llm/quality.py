@@ -205,7 +205,7 @@ class Scorer:
         m, counts, n = measured(text)
         known = self.known
         for w in set(counts).difference(known):
-            a, b = _slots(w)
+            a, b = _slots.__wrapped__(w)  # known keeps the words already
             known[w] = float(self.weights[a] + self.weights[b])
         z = self.bias + float(self.weights[_measure_slots(m)].sum())
         if n:
@@ -234,7 +234,7 @@ def scorer_udf(spark: SparkSession, model: dict):
         common.hold("quality")
         key, at, w, bias = sent.value
         if key not in _made:
-            _made.clear()
+            _forget()
             weights = np.zeros(DIM)
             weights[at] = w
             _made[key] = Scorer(weights, bias)

@@ -60,3 +60,16 @@ def test_time_grows_with_the_text():
         quality.Scorer(np.zeros(quality.DIM), 0.0).score("the thing is! " * (n // 14))
         took.append(time.perf_counter() - t)
     assert took[1] < 10 * took[0]
+
+
+def test_a_scoring_worker_keeps_each_word_once():
+    quality._forget()
+    r = np.random.default_rng(2)
+    scorer = quality.Scorer(r.normal(size=quality.DIM), 0.1)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 500, 60)) for _ in range(20)]
+    for t in texts:
+        m, counts, n = quality.measured(t)
+        z = 0.1 + sum(scorer.weights[s] * x for s, x in quality.features(m, counts, n).items())
+        quality._slots.cache_clear()
+        assert math.isclose(scorer.score(t), 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+    assert len(scorer.known) > 400 and quality._slots.cache_info().currsize == 0
